@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import Sent
+
 #: Entries of each memo of a Python worker; a memo starts anew when full.
 MEMO = 1_000_000
 
@@ -202,7 +204,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     path: file of ranks, read by the driver and broadcast (a vocabulary, whose size does not depend on the data).
     """
     kind = dict(df.dtypes)[key]
-    sent = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+    sent = Sent(df.sparkSession, read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,23 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Sent:
+    """A broadcast value whose class need not be importable on the executors."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.held: list = []
+
+    def __getstate__(self):
+        return {"bytes": self.bytes, "held": []}
+
+    @property
+    def value(self):
+        if not self.held:
+            self.held.append(pickle.loads(self.bytes.value))
+        return self.held[0]
+
+
 def no_nulls_id(column: str = "doc_id"):
     """crc32 of an id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_worker
-from .common import mix, slices, utf8
+from .common import Sent, mix, slices, utf8
 
 NONE = "und"
 
@@ -149,7 +149,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", n: int =
 def predict(df: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
     """The key with lang_pred and score; n as in training."""
     kind = dict(df.dtypes)[key]
-    sent = df.sparkSession.sparkContext.broadcast(filters)
+    sent = Sent(df.sparkSession, filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,7 +178,7 @@ def judge(texts: pa.Array, filters: Filters, n: int) -> tuple[pa.Array, pa.Array
 
 def keep_known(df: DataFrame, filters: Filters, text: str = "text", n: int = 3, least: float = 0.05) -> DataFrame:
     """The rows of df whose text has a known language: not `und`, and a score of at least `least`."""
-    sent, at, schema = df.sparkSession.sparkContext.broadcast(filters), df.columns.index(text), df.schema
+    sent, at, schema = Sent(df.sparkSession, filters), df.columns.index(text), df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, secrets, urls
+from . import ann, bpe, jaccard, langid, lm, packing, quality, secrets, urls
 from .common import no_nulls_id, table
 
 
@@ -25,16 +25,28 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), no_nulls_id() % 7 == 2)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return urls.judge(pages, pages.join(labels, "page_id")).drop("confidence")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def learned_languages(docs: DataFrame) -> langid.Filters:
     """Filters from the text and lang of two thirds of the documents."""
     return langid.train(docs.filter(no_nulls_id() % 3 != 1))
@@ -47,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_quality_rules, op6_byte_bpe, op8_url_filter, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_quality_rules, op5_graph_neighbours, op6_byte_bpe, op7_pitman_yor, op8_url_filter, op9_ngram_jaccard, op10_language_id)}
 
 
 def stop_list() -> str:

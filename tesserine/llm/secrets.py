@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Sent
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -286,7 +288,7 @@ SPAN = "array<struct<kind: string, start: bigint, end: bigint>>"
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The key with spans: kind, start, end (code points, end exclusive), by start, then kind in the order of the rules."""
     kind = dict(df.dtypes)[key]
-    sent = df.sparkSession.sparkContext.broadcast(Scanner(rules))
+    sent = Sent(df.sparkSession, Scanner(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent.value
@@ -301,7 +303,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Ru
 
 def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "<secret>") -> DataFrame:
     """df with every span of its text replaced by the mark, overlapping spans by one; null stays null."""
-    sent = df.sparkSession.sparkContext.broadcast(Scanner(rules))
+    sent = Sent(df.sparkSession, Scanner(rules))
     at, schema = df.columns.index(text), df.schema
 
     def clean(x: str | None) -> str | None:
