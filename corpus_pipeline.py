@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserine.llm import langid, packing, secrets
+from tesserine.llm import jaccard, langid, lines, packing, secrets
 from tesserine.llm.common import written
 from tesserine.llm.queries import learned_languages
 
@@ -15,9 +16,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, learned_languages(docs))
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with n_chars as its text now is."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one line of each group of near copies; documents that keep no line go."""
+    return measured(lines.dedup(docs))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, the one of least id."""
+    return jaccard.one_of_each(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by a mark; n_chars follows the text."""
-    return secrets.redact(docs)
+    """Replaces secrets by a mark."""
+    return measured(secrets.redact(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +41,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-STAGES = [("language_id", language_id), ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: No SQL expresses the stages; tests hold the result against a plain version.
 ORACLE_SQL = None

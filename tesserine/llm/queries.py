@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, langid, lm, packing, quality, secrets, urls
+from . import ann, bpe, jaccard, langid, lines, lm, packing, quality, secrets, urls
 from .common import no_nulls_id, table
 
 
@@ -16,6 +16,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines with a word, how many of them stay and which (positions, joined by commas)."""
+    docs = table(spark, sf_dir, "documents")
+    counted = docs.select("doc_id", F.size(F.filter(lines.lines_of(F.col("text")), lambda x: x.rlike(lines.WORD))).cast("long").alias("n_lines"))
+    found = counted.join(lines.kept_lines(docs), "doc_id", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
+    return found.select("doc_id", "n_lines", F.size("kept").cast("long").alias("n_kept"), F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept_at"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -59,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_quality_rules, op5_graph_neighbours, op6_byte_bpe, op7_pitman_yor, op8_url_filter, op9_ngram_jaccard, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_best_fit_packing, op4_quality_rules, op5_graph_neighbours, op6_byte_bpe, op7_pitman_yor, op8_url_filter, op9_ngram_jaccard, op10_language_id)}
 
 
 def stop_list() -> str:
