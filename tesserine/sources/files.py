@@ -55,21 +55,25 @@ def line_count(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).agg(F.count("*").alias("lines"))
 
 
+def _market_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines that are no comments, of those the lines of sizes): only a file that begins with a comment has one, other parts of a folder go on with entries."""
+    every = numbered(spark, path)
+    lines = every.filter(~F.col("line").startswith("%") & (F.trim("line") != ""))
+    headed = every.filter((F.col("at") == 0) & F.col("line").startswith("%%")).select("file")
+    first = lines.join(headed, "file", "left_semi").groupBy("file").agg(F.min_by(F.struct("at", "line"), "at").alias("x"))
+    return lines, first.select("file", "x.at", "x.line")
+
+
 def matrix_market(spark: SparkSession, path: str, base: int = 1) -> DataFrame:
-    """(row, col, val), counted from 0; comments and the line of sizes, the first of three whole numbers after them, are left out."""
-    lines = numbered(spark, path).filter(~F.col("line").startswith("%") & (F.trim("line") != ""))
-    sizes = lines.groupBy("file").agg(F.min("at").alias("size_at"))
-    # only the file that begins with a comment has a line of sizes; other parts of a folder go on with entries
-    headed = numbered(spark, path).filter((F.col("at") == 0) & F.col("line").startswith("%%")).select("file")
-    skip = sizes.join(headed, "file", "left_semi").select("file", F.col("size_at").alias("at"))
+    """(row, col, val), counted from 0; an entry without a value has 1."""
+    lines, sizes = _market_lines(spark, path)
     parts = F.split(F.trim("line"), r"\s+")
-    return lines.join(skip, ["file", "at"], "left_anti").select((F.get(parts, F.lit(0)).cast("long") - base).alias("row"), (F.get(parts, F.lit(1)).cast("long") - base).alias("col"), F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("val"))
+    return lines.join(sizes.select("file", "at"), ["file", "at"], "left_anti").select((F.get(parts, F.lit(0)).cast("long") - base).alias("row"), (F.get(parts, F.lit(1)).cast("long") - base).alias("col"), F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("val"))
 
 
 def matrix_sizes(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """(m, n, nnz) of a Matrix Market file."""
-    line = numbered(spark, path).filter(~F.col("line").startswith("%") & (F.trim("line") != "")).orderBy("at").select("line").first()[0]
-    return tuple(int(x) for x in line.split()[:3])
+    return tuple(int(x) for x in _market_lines(spark, path)[1].first()["line"].split()[:3])
 
 
 def _binary(spark: SparkSession, path: str, decode) -> DataFrame:
