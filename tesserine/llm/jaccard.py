@@ -131,7 +131,7 @@ def gather(docs: DataFrame, width: int, at_least: int, buckets: int) -> DataFram
 
         def passed_on() -> Iterator[pa.RecordBatch]:
             nonlocal held, count, first
-            if held:
+            if count:
                 keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
                 nodes, at = np.unique(ids, return_inverse=True)
                 order = np.argsort(keys, kind="stable")
