@@ -334,8 +334,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([hashes[at[r] : at[r + 1]].tobytes() for r in range(j - i)], pa.binary())], ["group", "blocks", "k", "data"])
 
-    # one row a document even where rows repeat
-    members = docs.join(groups, docs["k"] == groups["node"]).join(sizes, "root").select("root", "blocks", "k", "t")
+    # merged at every size: groups grow with the documents and are not to be sent to every task
+    members = docs.join(groups.hint("merge"), docs["k"] == groups["node"]).join(sizes, "root").select("root", "blocks", "k", "t")
     sets = members.mapInArrow(to_sets, "group bigint, blocks int, k bigint, data binary")
     mine = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     pairs = sets.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
