@@ -89,7 +89,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return o - o[0], raw[o[0] : o[-1]]
 
 
-def slices(offsets: np.ndarray, most_bytes: int = 3 << 20) -> list[tuple[int, int]]:
+def slices(offsets: np.ndarray, most_bytes: int = 1 << 20) -> list[tuple[int, int]]:
     """Row ranges of at most most_bytes each; a longer row stands alone."""
     out, i, n = [], 0, len(offsets) - 1
     while i < n:
