@@ -295,6 +295,36 @@ def test_reseating_keeps_customers():
         assert np.add.reduceat(sizes, first).tolist() == [5, 4, 6] and (sizes > 0).all()
 
 
+
+def mean_tables(c, fresh, discount):
+    """Of c customers, by the recursion over seatings (each scaled by its number of customers)."""
+    w = np.zeros(c + 2)
+    w[0] = 1
+    t = np.arange(c + 1)
+    for n in range(1, c + 1):
+        w[1:] = fresh * w[:-1] + np.where(t[: c + 1] + 1 < n, np.maximum(n - 1 - discount * (t + 1), 0), 0) * w[1:]
+        w[0] = 0
+        w /= w.sum()
+    return float((np.arange(c + 2) * w).sum())
+
+
+@pytest.mark.parametrize("c", [2, 9, lm.SMALL, 2000])
+def test_a_sweep_seats_every_customer(c):
+    n, one = 60, np.ones(1, np.int64)
+    fresh = np.full(n, 8.0)
+    want, got = mean_tables(c, 8.0, 0.8), []
+    tables, sizes = np.ones(n, np.int64), {}
+    for turn in range(6):
+        tables, sizes = lm.seat(np.full(n, c), sizes, fresh, 0 * fresh, 0.8, np.random.default_rng(turn))
+        assert all(sum(x) == c and min(x) > 0 for x in sizes.values())
+        got.append(tables.mean())
+    assert abs(got[0] - want) < 0.15 * want and abs(np.mean(got[1:]) - want) < 0.1 * want  # one table each at the start
+    totals = lm.Totals(c, 1, np.array([c]), np.array([1]), 1, 1)
+    s = lm.Seats(np.ones(1, np.uint64), np.array([c]), 0 * one, one, 0 * one, np.array([c]), one, {}, one, {}, [])
+    s = lm.sweep(s, totals, True, np.random.default_rng(0))
+    assert s.samples[0][1] == s.tables.sum() and (c < 9 or s.tables[0] > 1)
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = docs.count()
