@@ -126,6 +126,29 @@ def test_lines_against_brute_force(frame):
     assert links > 50 and want <= got and len(got - want) <= 0.03 * links  # recall; what stays is never too little
 
 
+
+def recall_of(frame, pairs):
+    """Share of the links that are found, one link a group."""
+    kept = {(r.doc_id, r.at) for r in lines.first_lines(frame(["\n".join(p) for p in pairs])).collect()}
+    assert all((i, 0) in kept for i in range(len(pairs)))
+    return 1 - sum((i, 1) in kept for i in range(len(pairs))) / len(pairs)
+
+
+def likeness(a, b):
+    a, b = (frozenset(x[k : k + 5] for k in range(max(1, len(x) - 4))) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_short_lines(frame):
+    rng, pairs = random.Random(8), [("Welcome to our Wolverhampton.", "Welcome to our Wolverhampton"), ("Read the full documentation.", "Read the full documentation")]
+    while len(pairs) < 300:
+        w = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(rng.randint(4, 7))]
+        a, b = " ".join(w), rng.choice([" ".join(w) + rng.choice([".", "!", " ok"]), " ".join(w[1:]), " ".join(w[:-1])])
+        if 20 <= len(a) <= 45 and likeness(a, b) >= 0.8:
+            pairs.append((a, b))
+    assert recall_of(frame, pairs[:2]) == 1 and recall_of(frame, pairs) >= 0.97
+
+
 def test_lines_native_and_edges(frame):
     df = frame([*EDGES, "keep me\n\nAll rights reserved.", "All rights reserved.", "other line here\nAll rights reserved."])
     got = {r.doc_id: r.text for r in lines.dedup(df).collect()}
