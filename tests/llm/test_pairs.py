@@ -149,6 +149,35 @@ def test_near_copies_of_short_lines(frame):
     assert recall_of(frame, pairs[:2]) == 1 and recall_of(frame, pairs) >= 0.97
 
 
+
+def test_links_near_the_bound(frame):
+    rng, pairs = random.Random(9), []
+    while len(pairs) < 600:
+        a = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(25))
+        b = list(a)
+        for _ in range(rng.randint(2, 4)):
+            b[rng.randrange(len(b))] = "#"
+        b = "".join(b)
+        if 0.8 <= likeness(a, b) < 0.85:
+            pairs.append((a, b))
+    assert recall_of(frame, pairs) >= 0.993
+
+
+def test_lines_that_can_be_alike_are_not_ruled_out(spark):
+    rng, rows = random.Random(3), []
+    for k in range(400):
+        a = "".join(rng.choice("abcdef ghij") for _ in range(rng.randint(5, 300)))
+        b = list(a)
+        for _ in range(rng.randint(0, 1 + len(a) // 20)):
+            b[rng.randrange(len(b))] = rng.choice("xyz")
+        rows.append((k, a, "".join(b)))
+    df = spark.createDataFrame(rows, "h long, a string, b string")
+    a, b = (lines.marked(df.select("h", F.col(c).alias("line"))).alias(c) for c in "ab")
+    got = {r.h: r.ok for r in a.join(b, F.col("a.h") == F.col("b.h")).select("a.h", lines.possible("a", "b").alias("ok")).collect()}
+    alike = [k for k, x, y in rows if likeness(x, y) >= 0.8]
+    assert len(alike) > 50 and all(got[k] for k in alike) and not all(got.values())
+
+
 def test_lines_native_and_edges(frame):
     df = frame([*EDGES, "keep me\n\nAll rights reserved.", "All rights reserved.", "other line here\nAll rights reserved."])
     got = {r.doc_id: r.text for r in lines.dedup(df).collect()}
