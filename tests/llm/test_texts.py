@@ -197,3 +197,12 @@ def test_packing_edges(frame):
     assert [r.length for r in rows if r.doc_id in (0, 1)] == [1, 1]
     whole(rows)
     assert packing.pack(frame(EDGES).limit(0), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_packing_of_added_tokens(frame):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "one two <|endoftext|> three<|endoftext|><|endoftext|>", "<|endoftext|ordinary", " <|endoftext|>  x"]
+    plain = Tokenizer.from_file(path)
+    for r in packing.pack(frame(texts), path, public_tokenizers.PATTERN).collect():
+        ids = [*plain.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
