@@ -176,7 +176,7 @@ def judge(texts: pa.Array, filters: Filters, n: int) -> tuple[pa.Array, pa.Array
     return pa.array(names, pa.string()), pa.array(score, pa.float64())
 
 
-def keep_known(df: DataFrame, filters: Filters, text: str = "text", n: int = 3, least: float = 0.05) -> DataFrame:
+def keep_known(df: DataFrame, filters: Filters, text: str = "text", n: int = 3, least: float = 0.35) -> DataFrame:
     """The rows of df whose text has a known language: not `und`, and a score of at least `least`."""
     sent, at, schema = Sent(df.sparkSession, filters), df.columns.index(text), df.schema
 

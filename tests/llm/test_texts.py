@@ -206,3 +206,13 @@ def test_packing_of_added_tokens(frame):
     for r in packing.pack(frame(texts), path, public_tokenizers.PATTERN).collect():
         ids = [*plain.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
         assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_unlearned_language_goes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    filters = queries.learned_languages(docs)
+    clean = {r.doc_id for r in docs.filter("text rlike '[A-Za-z]'").collect()}
+    kept = {r.doc_id for r in langid.keep_known(docs, filters).collect()}
+    assert len(kept & clean) >= 0.99 * len(clean)
+    foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "xkcd qwrtz bcdfg hjklm npqrs tvwxz"]
+    assert langid.keep_known(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), filters).count() == 0
