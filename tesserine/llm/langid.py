@@ -3,8 +3,8 @@
 Training counts, over every labelled row given, the n-grams of each language
 and keeps those with at least `share` of their language's n-grams; a language
 thus has at most 1 / share of them, whatever the size of the corpus.  All
-languages share one array of words in which bit l of a slot belongs to language
-l; the AND of an n-gram's slots is the set of languages that contain it.  For a
+languages share arrays of words, one for every 64 languages, in which bit l % 64
+of a slot of array l // 64 belongs to language l; the AND of an n-gram's slots is the set of languages that contain it.  For a
 text, each language's hits are counted over its n-grams, the filter's expected
 false positives are taken out, and the greatest corrected share decides.
 
@@ -79,37 +79,39 @@ class Filters:
     probes: int
     false: np.ndarray
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        size = np.uint64(len(self.slots) - 1)
-        out = self.slots[(h & size).astype(np.int64)]
+    def masks(self, h: np.ndarray, word: int) -> np.ndarray:
+        """Languages 64 * word and on that contain each n-gram."""
+        slots = self.slots[word]
+        size = np.uint64(len(slots) - 1)
+        out = slots[(h & size).astype(np.int64)]
         step = (h >> np.uint64(32)) | np.uint64(1)
         for k in range(1, self.probes):
-            out &= self.slots[((h + np.uint64(k) * step) & size).astype(np.int64)]
+            out &= slots[((h + np.uint64(k) * step) & size).astype(np.int64)]
         return out
 
     def shares(self, row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
         """Corrected share of each row's n-grams in each language."""
-        masks, total = self.masks(h), np.maximum(np.bincount(row, minlength=rows), 1)
+        total = np.maximum(np.bincount(row, minlength=rows), 1)
         out = np.zeros((rows, len(self.languages)))
         for k in range(len(self.languages)):
-            hit = ((masks >> np.uint64(k)) & np.uint64(1)).astype(bool)
+            if k % 64 == 0:
+                masks = self.masks(h, k // 64)
+            hit = ((masks >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
             out[:, k] = (np.bincount(row[hit], minlength=rows) / total - self.false[k]) / (1 - self.false[k])
         return np.clip(out, 0, 1)
 
 
 def build(languages: list[str], learned: list[tuple[int, int]], probes: int = 4, room: int = 24) -> Filters:
     """learned: (language, n-gram hash)."""
-    if len(languages) > 64:
-        raise ValueError("a word of the filter holds 64 languages")
     most = max(np.bincount([k for k, _ in learned]), default=0) if learned else 0
     size = 1 << int(np.ceil(np.log2(max(64, room * most))))
-    slots = np.zeros(size, np.uint64)
+    slots = np.zeros((-(-len(languages) // 64), size), np.uint64)
     for k in range(len(languages)):
         h = np.array([g for x, g in learned if x == k], np.uint64)
         step = (h >> np.uint64(32)) | np.uint64(1)
         for p in range(probes):
-            np.bitwise_or.at(slots, ((h + np.uint64(p) * step) & np.uint64(size - 1)).astype(np.int64), np.uint64(1 << k))
-    density = np.array([((slots >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
+            np.bitwise_or.at(slots[k // 64], ((h + np.uint64(p) * step) & np.uint64(size - 1)).astype(np.int64), np.uint64(1 << k % 64))
+    density = np.array([((slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))])
     return Filters(languages, slots, probes, density**probes)
 
 

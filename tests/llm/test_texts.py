@@ -216,3 +216,11 @@ def test_unlearned_language_goes(spark, sf_dir):
     assert len(kept & clean) >= 0.99 * len(clean)
     foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "xkcd qwrtz bcdfg hjklm npqrs tvwxz"]
     assert langid.keep_known(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), filters).count() == 0
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(150)]
+    rows = [(i, " ".join(x * 3 + y for y in "qwertz"), x) for i, x in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert got == dict(enumerate(names))
