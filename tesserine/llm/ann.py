@@ -2,15 +2,17 @@
 
 Equal vectors are one node that keeps the few least ids that a result can need,
 so copies of one vector neither crowd a shard nor a neighbourhood.  Nodes are
-dealt by hash into shards of a fixed size; each shard builds its graph, whose
-layers are flat arrays of neighbours, and answers every query; results of the
-shards are merged.  Scores are cosines in double precision of the original
+dealt by hash into shards, of `shard` nodes until there are `most` shards and of
+more nodes beyond, so a query goes to `most` shards at most; each shard builds its
+graph, whose layers are flat arrays of neighbours, and answers every query; results
+of the shards are merged.  Scores are cosines in double precision of the original
 vectors.
 
 Defined results: vectors that are null, empty, zero or hold a null or a
 non-finite component take no part, neither as queries nor as candidates; only
 vectors of equal length are compared; ties go to the smaller id; rows that
-repeat an id with the same vector count once; an empty table gives an empty
+repeat an id with the same vector count once; an id with several vectors is
+found once, with the nearest of them, and asks with each of its own; an empty table gives an empty
 one; with few candidates all are returned.  Only the id and the vector are read.
 """
 
@@ -23,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 class Graph:
     """Hierarchical navigable small-world graph over unit vectors; layer l holds flat arrays of neighbours."""
@@ -140,13 +144,14 @@ def sound(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard: int = 4096, width: int = 128, links: int = 12) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard: int = 4096, most: int = 256, width: int = 128, links: int = 12) -> DataFrame:
     """query_id, rank (from 1), key and score of the k nearest found of every query; is_query is an expression over the key."""
     good = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("e"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(sound(F.col("e")) & F.col("id").isNotNull())
     # the k + 1 least ids of a vector are all that a result can hold; tasks cut their own rows before the shuffle
     order = F.row_number().over(Window.partitionBy("e").orderBy("id"))
     nodes = good.select("id", "e").distinct().withColumn("r", order).filter(F.col("r") <= k + 1).groupBy("e").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    shards = max(1, -(-nodes.count() // shard))
+    nodes = written(nodes, "nodes")
+    shards = min(most, max(1, -(-nodes.count() // shard)))
     place = F.pmod(F.xxhash64("e"), F.lit(shards)).cast("int")
     nodes = nodes.select("ids", "e", F.size("e").alias("dim"), place.alias("shard"))
     asked = good.filter("asks").groupBy("e").agg(F.min("id").alias("q"))
@@ -166,14 +171,19 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
         for q, v, n in zip(them["q"], y, length, strict=True):
             found = graph.search((v / n).astype(np.float32), width)
             scores = x[found] @ v / (size[found] * n)
-            best = sorted(((-s, int(i)) for s, f in zip(scores.tolist(), found.tolist(), strict=True) for i in ids[f]))[: k + 1]
-            out += [(q, i, -s) for s, i in best]
+            best: dict[int, float] = {}  # an id counts with the nearest of its vectors
+            for s, i in sorted((-s, int(i)) for s, f in zip(scores.tolist(), found.tolist(), strict=True) for i in ids[f]):
+                if len(best) > k:
+                    break
+                best.setdefault(i, -s)
+            out += [(q, i, s) for i, s in best.items()]
         return pd.DataFrame(out, columns=["q", "id", "score"])
 
     hits = nodes.groupBy("dim", "shard").cogroup(sent.groupBy("dim", "shard")).applyInPandas(answer, "q bigint, id bigint, score double")
     top = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    best = hits.withColumn("r", top).filter(F.col("r") <= k + 1).drop("r")
+    best = hits.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("r", top).filter(F.col("r") <= k + 1).drop("r")
     # every query of a vector takes its vector's result without itself
     who = good.filter("asks").select("id", "e").distinct().join(asked, "e").select(F.col("id").alias("query_id"), "q")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return who.join(best, "q").filter("query_id <> id").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    found = who.join(best, "q").filter("query_id <> id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
