@@ -4,13 +4,16 @@ A listed rule fits its host and all subdomains of it where the url's path
 begins with the rule's; the longest wins.  Elsewhere the mined rules decide: a
 transaction is the set of a labelled url's tokens (parts of host and path, and
 which parts there are) with its label; rules that conclude `block` are pruned
-by support and confidence, indexed by token, and fire on a url that holds all
-tokens of their condition.  Everything is DataFrame operations.
+by support and confidence, indexed by the rarest token of their condition, and
+fire on a url that holds all tokens of it.  Everything is DataFrame operations.
 
 Defined results: a null url, or one without ://, has an empty host and path, no
 rule, and is allowed; empty tables give empty ones; repeated rows are judged
 each for itself; no labelled urls, or none labelled bad, mine no rules.
-Only the named columns are read.
+An unlabelled row (null `bad`) is no transaction; a url of any length is read
+whole; of rules that fire together the surest gives the confidence, and equal
+ones give the same; rows of equal urls are judged alike.  Only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: (host, path, verdict): fixed values.
 RULES = (
     ("com", "/en/", "block"),
@@ -60,7 +65,7 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.7, least: int = 5) -> DataFrame:
-    """labelled: url, bad (boolean). Rules: condition (tokens), confidence, support. At most a number set by the support, whatever the input.
+    """labelled: url, bad (boolean). Rules: condition (tokens), rare (its rarest token in the transactions), confidence, support. At most a number set by the support, whatever the input.
 
     least: a condition and label must also meet in so many urls.
     """
@@ -68,7 +73,7 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.7, l
     baskets = labelled.filter("url is not null and bad is not null").select(F.when(F.col("bad"), F.array_append(tokens(F.col("url")), F.lit(BAD))).otherwise(tokens(F.col("url"))).alias("items"), "bad")
     n, bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
     if not bad:
-        return spark.createDataFrame([], "condition array<string>, confidence double, support double")
+        return spark.createDataFrame([], "condition array<string>, rare string, confidence double, support double")
     support = max(support, least / n)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets.select("items"))
     found = model.associationRules.filter(F.get("consequent", F.lit(0)) == BAD).select(F.array_sort("antecedent").alias("condition"), "confidence", "support")
@@ -78,15 +83,25 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.7, l
     token = F.explode("condition").alias("token")
     pairs = longer.select("condition", "confidence", token).alias("longer").join(part.select(F.col("condition"), F.col("confidence"), F.get("condition", F.lit(0)).alias("token")).alias("part"), F.col("longer.token") == F.col("part.token"))
     worse = pairs.filter(test).select(F.col("longer.condition").alias("condition")).distinct()
-    return found.join(worse, "condition", "left_anti")
+    kept = found.join(worse, "condition", "left_anti")
+    often = model.freqItemsets.filter(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq")
+    rare = kept.select("condition", token).join(often, "token").groupBy("condition").agg(F.min_by("token", F.struct("freq", "token")).alias("rare"))
+    return kept.join(rare, "condition").select("condition", "rare", "confidence", "support")
+
+
+#: Rules up to which the index goes to every task.
+BROADCAST = 20_000
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Of the distinct urls, those on which a rule fires, with the surest rule's confidence. The index: token -> rules that need it."""
-    index = rules.select(F.xxhash64("condition").alias("rule"), F.size("condition").alias("needs"), "confidence", F.explode("condition").alias("token"))
-    own = urls.select("url").distinct().select("url", F.explode(tokens(F.col("url"))).alias("token"))
-    met = own.join(index, "token").groupBy("url", "rule", "needs", "confidence").agg(F.count("*").alias("n")).filter("n = needs")
-    return met.groupBy("url").agg(F.max("confidence").alias("confidence"))
+    """Of the distinct urls, those on which a rule fires, with the surest rule's confidence. The index: rarest token -> rules that need it."""
+    index = written(rules.select(F.col("rare").alias("token"), "condition", "confidence"), "rules")
+    if index.count() <= BROADCAST:  # checked; more of them meet the urls by a join on the token
+        index = F.broadcast(index)
+    own = urls.select("url").distinct().select("url", tokens(F.col("url")).alias("own"))
+    met = own.select("url", "own", F.explode("own").alias("token")).join(index, "token")
+    whole = met.filter(F.size(F.array_except("condition", "own")) == 0)
+    return whole.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, **mining) -> DataFrame:
