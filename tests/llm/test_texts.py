@@ -129,6 +129,39 @@ def test_language_query(spark, sf_dir):
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in held]) > 0.95
 
 
+def trigrams(text):
+    """Letters lower-cased, every run of other characters one boundary, a boundary at both ends."""
+    s = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+    s = re.sub(" +", " ", f" {s} ")
+    return [s[i : i + 3] for i in range(len(s) - 2)]
+
+
+def test_language_against_exact_sets(spark, sf_dir):
+    """The filters' verdicts are those of exact sets of n-grams."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()}
+    counts = collections.defaultdict(collections.Counter)
+    for i, r in docs.items():
+        if zlib.crc32(str(i).encode()) % 3 != 1 and r.lang is not None and r.text is not None:
+            counts[r.lang].update(trigrams(r.text))
+    held = {x: {g for g, n in c.items() if n >= 2e-5 * sum(c.values())} for x, c in counts.items()}
+    got = {r.doc_id: r for r in queries.op10_language_id(spark, sf_dir).collect()}
+    for i, r in docs.items():
+        g = trigrams(r.text)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        share = {x: sum(y in s for y in g) / len(g) for x, s in held.items()}
+        best = max(share.values())
+        assert share[got[i].lang_pred] >= best - 0.02 and abs(got[i].score - best) < 0.02, (i, share, got[i])
+
+
+def test_language_stage_edges(spark):
+    filters = langid.train(spark.createDataFrame([("x", "abc abd abe"), ("y", "uvw uvx uvy")], "lang string, text string"))
+    df = spark.createDataFrame([(1, "abc " * 200_000, "t", 0.5), (2, None, "t", None), (2, "uvw", None, 1.0), (2, "uvw", None, 1.0)], "doc_id long, text string, lang_pred string, score double")
+    assert sorted((r.doc_id, len(r.text)) for r in langid.keep_known(df, filters).collect()) == [(1, 800_000), (2, 3), (2, 3)]
+    assert langid.keep_known(df, filters).columns == df.columns and langid.keep_known(df.limit(0), filters).count() == 0
+
+
 def test_language_edges(spark, frame):
     learned = spark.createDataFrame([("x", "abc abd abe"), ("y", "uvw uvx uvy"), (None, "zzz"), ("z", None)], "lang string, text string")
     filters = langid.train(learned)
@@ -162,7 +195,6 @@ def whole(rows):
 
 def test_packing_query(spark, sf_dir):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     rows = queries.op3_best_fit_packing(spark, sf_dir).collect()
     by = collections.defaultdict(list)
@@ -191,6 +223,30 @@ def test_plan(lengths):
     assert whole([Row(*x) for x in zip(sequence.tolist(), offset.tolist(), n.tolist(), strict=True)]) == plan.sequences
 
 
+@pytest.mark.parametrize("low, high, n", [(1, 1024, 20_000), (400, 600, 9_000), (300, 700, 20_000), (5, 90, 20_000), (513, 1023, 3_000)])
+def test_plan_is_never_worse_than_best_fit_decreasing(low, high, n):
+    rng = random.Random(low)
+    lengths = [rng.randint(low, high) for _ in range(n)]
+    room = [0] * 1025  # plain best fit decreasing: sequences by free tokens
+    used = 0
+    for x in sorted(lengths, reverse=True):
+        fit = next((r for r in range(x, 1025) if room[r]), None)
+        if fit is None:
+            used, fit = used + 1, 1024
+        else:
+            room[fit] -= 1
+        room[fit - x] += 1
+    assert -(-sum(lengths) // 1024) <= packing.plan(collections.Counter(lengths)).sequences <= used
+
+
+def test_packing_of_clashing_and_repeated_rows(spark):
+    rows = [(1, "a b c", 5, "x"), (1, "a b c", 5, "x"), (None, None, 0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, piece int, length string")
+    got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
+    assert sorted((str(r.doc_id), r.length) for r in got) == [("1", 4), ("1", 4), ("None", 1)]
+    whole(got)
+
+
 def test_packing_edges(frame):
     rows = packing.pack(frame(EDGES), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
     assert {r.doc_id for r in rows} == set(range(len(EDGES)))
