@@ -473,16 +473,114 @@ def test_a_sweep_seats_every_customer(c):
     want, got = mean_tables(c, 8.0, 0.8), []
     tables, sizes = np.ones(n, np.int64), {}
     for turn in range(6):
-        tables, sizes = lm.seat(np.full(n, c), sizes, fresh, 0 * fresh, 0.8, np.random.default_rng(turn))
+        tables, sizes = lm.seat(np.full(n, c), sizes, fresh, 0 * fresh, 0.8, np.random.default_rng(turn).random(n))
         assert all(sum(x) == c and min(x) > 0 for x in sizes.values())
         got.append(tables.mean())
     assert abs(got[0] - want) < 0.15 * want and abs(np.mean(got[1:]) - want) < 0.1 * want  # one table each at the start
     totals = lm.Totals(c, 1, np.array([c]), np.array([1]), 1, 1)
     s = lm.Seats(np.ones(1, np.uint64), np.array([c]), 0 * one, one, 0 * one, np.array([c]), one, {}, one, {}, [])
-    s = lm.sweep(s, totals, True, np.random.default_rng(0))
+    s = lm.sweep(s, totals, True, 0)
     assert s.samples[0][1] == s.tables.sum() and (c < 9 or s.tables[0] > 1)
 
 
+def plain_sampler(texts, held, sweeps, burn_in, seed):
+    """Scores by a plain Gibbs sampler: customers leave and sit down one after the other, each move seen by the next."""
+    rng = random.Random(seed)
+    words = {i: [*WORD.findall(lower(t)), None] for i, t in texts.items()}
+    pairs = lambda ws: list(zip([0, *ws[:-1]], ws, strict=True))
+    learned = [x for i, ws in words.items() if not held(i) for x in pairs(ws)]
+    counts, spread = collections.Counter(learned), collections.Counter()
+    for u, w in counts:
+        spread[w] += 1
+    part = lambda a, b: min(0.95, max(0.05, a / max(1, a + 2 * b)))
+    d = part(sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values()))
+    e = part(sum(c == 1 for c in spread.values()), sum(c == 2 for c in spread.values()))
+    v, theta = len(spread), 1.0
+    sizes, above = {x: [c] for x, c in counts.items()}, {w: [n] for w, n in spread.items()}
+    customers, tables = collections.Counter(u for u, _ in learned), collections.Counter(u for u, _ in counts)
+
+    def parent(w):
+        own = above.get(w, [])
+        n, t = sum(map(sum, above.values())), sum(map(len, above.values()))
+        return (sum(own) - e * len(own) + (theta + e * t) / (v + 1)) / (theta + n)
+
+    def child(u, w):
+        own = sizes.get((u, w), [])
+        return (sum(own) - d * len(own) + (theta + d * tables[u]) * parent(w)) / (theta + customers[u])
+
+    def leave(own):
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            own.pop(k)
+            return True
+        return False
+
+    def sit(own, discount, fresh):
+        k = rng.choices(range(len(own) + 1), [*(n - discount for n in own), fresh])[0]
+        if k == len(own):
+            own.append(1)
+            return True
+        own[k] += 1
+        return False
+
+    def up(w, leaves):
+        if leaves:
+            leave(above[w])
+        else:
+            sit(above[w], e, (theta + e * sum(map(len, above.values()))) / (v + 1))
+
+    total = collections.defaultdict(lambda: collections.defaultdict(float))
+    for turn in range(sweeps):
+        for (u, w), own in sizes.items():
+            for _ in range(sum(own)):
+                if leave(own):
+                    tables[u] -= 1
+                    up(w, True)
+                customers[u] -= 1
+                if sit(own, d, (theta + d * tables[u]) * parent(w)):
+                    tables[u] += 1
+                    up(w, False)
+                customers[u] += 1
+        if turn >= burn_in:
+            for i, ws in words.items():
+                for k, (u, w) in enumerate(pairs(ws)):
+                    total[i][k] += child(u, w)
+    return {i: sum(math.log10(x / (sweeps - burn_in)) for x in total[i].values()) for i in words}
+
+
+def test_scores_against_a_plain_sampler(spark, frame):
+    rng = random.Random(3)
+    vocabulary = ["the", "cat", "dog", "sat", "ran", "on", "a", "mat", "log", "and", "red", "big"]
+    texts = [" ".join(rng.choices(vocabulary, [12 // (k + 1) + 1 for k in range(12)], k=rng.randint(3, 14))) for _ in range(40)]
+    held = lambda i: i % 4 == 0
+    want = plain_sampler(dict(enumerate(texts)), held, 60, 15, 1)
+    got = {r.doc_id: r.score for r in lm.score(frame(texts), F.col("doc_id") % 4 == 0, burn_in=6, samples=8).collect()}
+    base = {i: b for i, (_, _, _, b) in plain_base(dict(enumerate(texts)), held).items()}
+    assert all(abs(got[i] - want[i]) < 0.03 * abs(want[i]) for i in want), max(abs(got[i] - want[i]) / abs(want[i]) for i in want)
+    assert abs(sum(got.values()) - sum(want.values())) < 0.01 * abs(sum(want.values())) < abs(sum(base.values()) - sum(want.values()))
+
+
+def test_scores_do_not_depend_on_partitions(spark, frame):
+    df = frame([*EDGES, *["the cat sat on the mat", "a dog ran on a log", "the dog sat"] * 30])
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (3, 11):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append({r.doc_id: r.score for r in lm.score(df.repartition(n), F.col("doc_id") % 5 == 0).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(math.isclose(found[0][i], found[1][i], rel_tol=1e-9) for i in found[0])
+
+
+def test_own_contexts(spark, frame):
+    words = lm.frequent_words(frame(["b b b c c a " * 3] * 200).select(F.col("doc_id").alias("k"), F.col("text").alias("t")), 2)
+    assert len(words) == 2 and (np.diff(words.astype(object)) > 0).all()
+    codes = lm.context_of(np.array([*words, 5, 5 + (1 << 40)], np.uint64), words)
+    assert codes[:2].tolist() == [1, 2] and (codes[2:] > 2).all() and codes.max() < lm.CONTEXTS
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = docs.count()
