@@ -27,11 +27,32 @@ def canonical(s: Column) -> Column:
     return F.least(s, revcomp(s))
 
 
+def strict_revcomp(s: Column) -> Column:
+    """Reverse complement that refuses letters other than A, C, G, T, N and 0."""
+    return F.when(s.rlike("[^ACGTN0]"), F.raise_error(F.concat(F.lit("not a base in "), s)).cast("string")).otherwise(revcomp(s))
+
+
 def windows(s: Column, k: int = K, trim: int = 0) -> Column:
-    """All windows of k bases, without the first and last `trim`; none where the read is too short."""
+    """All windows of k bases, without the first and last `trim`; none where the read is too short.
+
+    They are cut from bytes: a position in text is found by walking from its start.
+    """
+    return _cut(s, k, trim, lambda b, n, i: F.substring(b[0], i, F.lit(k)).cast("string"), F.array(s.cast("binary")))
+
+
+def canonical_windows(s: Column, k: int = K, trim: int = 0) -> Column:
+    """The lesser of each window and its reverse complement, which is the window at the mirrored place of the read's."""
+    both = F.array(s.cast("binary"), revcomp(s).cast("binary"))
+    return _cut(s, k, trim, lambda b, n, i: F.least(F.substring(b[0], i, F.lit(k)).cast("string"), F.substring(b[1], n - i - k + 2, F.lit(k)).cast("string")), both)
+
+
+def _cut(s: Column, k: int, trim: int, cut, bytes_: Column) -> Column:
     n = F.length(s)
     # a sequence from 2 to 1 would count down, hence the guard
-    return F.when(n >= k + 2 * trim, F.transform(F.sequence(F.lit(1 + trim), n - k + 1 - trim), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    places = F.sequence(F.lit(1 + trim), n - k + 1 - trim)
+    # a lambda's variable keeps the bytes from being made anew for each window
+    found = F.get(F.transform(F.array(bytes_), lambda b: F.transform(places, lambda i: cut(b, n, i))), F.lit(0))
+    return F.when(n >= k + 2 * trim, found).otherwise(F.array().cast("array<string>"))
 
 
 def forward(kmer: Column, base: Column) -> Column:
@@ -44,12 +65,37 @@ def backward(kmer: Column, base: Column) -> Column:
     return F.concat(base, F.substr(kmer, F.lit(1), F.length(kmer) - 1))
 
 
-def packed(kmer: Column) -> Column:
-    """Two bits a base, padded with A to whole bytes, as a number; for at most 31 bases."""
+def packed(kmer: Column, k: int = K) -> Column:
+    """Two bits a base of k-mers of k bases, 32 at most, padded with A to whole bytes, as a signed number."""
+    if not 1 <= k <= 32:
+        raise ValueError("a number holds 32 bases; packed_words takes more")
     code = F.translate(kmer, "ACGT", "0123")
-    return F.conv(F.rpad(code, 4 * 3, "0"), 4, 10).cast("long")
+    return F.conv(F.rpad(code, 4 * ((k + 3) // 4), "0"), 4, -10).cast("long")
+
+
+def packed_words(kmer: Column, k: int) -> Column:
+    """k-mers of any k as an array of numbers of 32 bases each, the last one padded with A to whole bytes."""
+    return F.array(*(packed(F.substring(kmer, a + 1, min(32, k - a)), min(32, k - a)) for a in range(0, k, 32)))
+
+
+def unpacked(number: Column, k: int) -> Column:
+    """The k bases, 32 at most, of a packed number."""
+    width = 4 * ((k + 3) // 4)
+    return F.substring(F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), width, "0"), "0123", "ACGT"), 1, k)
+
+
+def unpacked_words(numbers: Column, k: int) -> Column:
+    return F.concat(*(unpacked(F.get(numbers, F.lit(a // 32)), min(32, k - a)) for a in range(0, k, 32)))
 
 
 def djb2(s: Column, modulus: int = 2147483647) -> Column:
     """h = byte + 33 h from 5381, modulo a prime so that it stays exact."""
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(F.substring(s, i, F.lit(1))).cast("long")), F.lit(5381).cast("long"), lambda h, b: (b + 33 * h) % modulus)
+
+
+def djb2_wrapped(s: Column) -> Column:
+    """The same hash modulo 2**64, as a decimal number."""
+    kind = "decimal(38,0)"
+    step = lambda h, b: F.pmod(b + 33 * h, F.lit(str(1 << 64)).cast("decimal(20,0)")).cast(kind)
+    codes = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(F.substring(s, i, F.lit(1))).cast("decimal(3,0)"))
+    return F.aggregate(F.when(F.length(s) > 0, codes).otherwise(F.array().cast("array<decimal(3,0)>")), F.lit(5381).cast(kind), step)

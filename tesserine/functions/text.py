@@ -16,6 +16,23 @@ def replace_spaces(s: Column) -> Column:
     return F.translate(s, " ", "_")
 
 
+def replaced(s: Column, what: str, by: str) -> Column:
+    """Every occurrence of a text replaced by another."""
+    return F.replace(s, F.lit(what), F.lit(by))
+
+
+def micros(ns: Column) -> Column:
+    return ns / 1e3
+
+
+def millis(ns: Column) -> Column:
+    return ns / 1e6
+
+
+def seconds(ns: Column) -> Column:
+    return ns / 1e9
+
+
 def basename(s: Column) -> Column:
     """What follows the last slash; empty where there is none."""
     return F.when(F.contains(s, F.lit("/")), F.substring_index(s, "/", -1)).otherwise("")

@@ -18,19 +18,31 @@ def ends(nodes: DataFrame, rounds: int = 40) -> DataFrame:
     """
     ids = nodes.select(F.col("id").alias("there"))
     known = nodes.join(ids, F.col("before") == F.col("there"), "left")
+    # a node is done once its pointer rests on a start, or at a start itself
     state = known.select("id", F.when(F.col("there").isNotNull(), F.col("before")).alias("up"), F.when(F.col("there").isNotNull(), 1).otherwise(0).cast("long").alias("place"), (F.col("before").isNull() | F.col("there").isNotNull()).alias("whole"))
     state = stored(state, "chains")
-    most = max(1, nodes.count())
-    for turn in range(rounds):
-        if state.filter("up is not null").limit(1).isEmpty() or 1 << turn > 2 * most:
+    done, open_ = state.filter("up is null"), state.filter("up is not null")
+    turn = 0
+    while not open_.limit(1).isEmpty():
+        if turn == rounds:
+            raise RuntimeError(f"chains of more than {1 << rounds} nodes")
+        every = done.unionByName(open_)
+        above = every.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("place").alias("a_place"), F.col("whole").alias("a_whole"))
+        moved = open_.join(above, F.col("up") == F.col("a"))
+        rests = F.col("a_up").isNull()
+        moved = stored(moved.select("id", F.coalesce("a_up", "up").alias("up"), (F.col("place") + F.when(rests, 0).otherwise(F.col("a_place"))).alias("place"), (F.col("whole") & F.col("a_whole")).alias("whole"), rests.alias("rests")), "chains")
+        # a node on a cycle, or behind one, has passed more nodes than there are
+        if 1 << turn > 2 * state.count():
+            done, open_ = done.unionByName(moved.drop("rests")), moved.filter("false")
             break
-        above = state.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("place").alias("a_place"), F.col("whole").alias("a_whole"))
-        moved = state.join(above, F.col("up") == F.col("a"), "left")
-        # a node whose pointer rests on a start keeps it as its start
-        state = stored(moved.select("id", F.coalesce("a_up", "up").alias("up"), F.when(F.col("a_up").isNotNull(), F.col("place") + F.col("a_place")).otherwise(F.col("place")).alias("place"), (F.col("whole") & F.coalesce("a_whole", F.lit(True))).alias("whole"), F.col("a_up").isNotNull().alias("moved")), "chains")
-        if state.filter("moved").limit(1).isEmpty():
-            break
-    return state.select("id", F.coalesce("up", "id").alias("start"), "place", "whole")
+        done, open_ = done.unionByName(moved.filter("rests").drop("rests")), moved.filter("not rests").drop("rests")
+        turn += 1
+    return done.select("id", F.coalesce("up", "id").alias("start"), "place", "whole")
+
+
+def stops(nodes: DataFrame) -> DataFrame:
+    """Those nodes (id, before, ...) that no node follows."""
+    return nodes.join(nodes.select(F.col("before").alias("there")), F.col("id") == F.col("there"), "left_anti").drop("before")
 
 
 def cycles(found: DataFrame, nodes: DataFrame) -> DataFrame:

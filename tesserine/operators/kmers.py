@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.functions.bases import K, canonical, windows
+from tesserine.functions.bases import K, canonical_windows, windows
 
 
 def exploded(reads: DataFrame, k: int = K, trim: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -15,7 +15,34 @@ def exploded(reads: DataFrame, k: int = K, trim: int = 1, keep: tuple[str, ...]
 
 def counts(reads: DataFrame, k: int = K) -> DataFrame:
     """(kmer, cnt) of canonical windows without each read's first and last. Partial sums in the scan's stage take the place of a Bloom pre-filter."""
-    return exploded(reads, k).groupBy(canonical(F.col("km")).alias("kmer")).agg(F.count("*").alias("cnt"))
+    return canonical(reads, k).groupBy("kmer").agg(F.count("*").alias("cnt"))
+
+
+def canonical(reads: DataFrame, k: int = K, trim: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a window of column s, in its canonical form, in column kmer."""
+    return reads.filter(F.length("s") >= k + 2 * trim).select(*keep, F.explode(canonical_windows(F.col("s"), k, trim)).alias("kmer"))
+
+
+def counts_of(reads: DataFrame, keys: DataFrame, k: int = K) -> DataFrame:
+    """counts of those k-mers that keys (kmer) has: others leave before the aggregate and its shuffle."""
+    return canonical(reads, k).join(keys.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("cnt"))
+
+
+def estimated(reads: DataFrame, file: str, order: str, size: Column, limit: int = 100_000, k: int = K) -> DataFrame:
+    """One row: records, lines and k-mers of FASTQ-like files, estimated from each file's first records.
+
+    Of every file the first limit + 1 records by `order` are read; its records in
+    all are its size over their mean size (whole numbers), and what was counted
+    is divided by the share of records read, over all files.
+    """
+    own = Window.partitionBy(file).orderBy(order)
+    rows = reads.select(file, F.length("s").alias("n"), size.alias("size"), F.row_number().over(own).alias("at"))
+    whole = reads.groupBy(file).agg(F.sum(size).alias("whole"))
+    some = rows.filter(F.col("at") <= limit + 1).groupBy(file).agg(F.count("*").alias("read"), F.sum("size").alias("bytes"), F.sum(F.when((F.col("at") <= limit) & (F.col("n") >= k), F.col("n") - k + 1).otherwise(0)).alias("kmers"))
+    found = some.join(whole, file).select("read", "kmers", F.floor(F.col("whole") / F.floor(F.col("bytes") / F.col("read"))).alias("of"))
+    total = found.agg(F.sum("read").alias("read"), F.sum("kmers").alias("kmers"), F.sum("of").alias("of"))
+    share = F.col("read") / F.col("of")
+    return total.select(F.floor(F.col("read") / share).cast("long").alias("records"), F.floor(4 * F.col("read") / share).cast("long").alias("lines"), F.floor(F.col("kmers") / share).cast("long").alias("kmers"))
 
 
 def repeated(reads: DataFrame, k: int = K, threshold: int = 2) -> DataFrame:

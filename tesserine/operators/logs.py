@@ -1,10 +1,22 @@
-"""Parsing of benchmark logs and groupings of the parsed rows."""
+"""Parsing of benchmark logs and groupings of the parsed rows.
+
+`parsed` reads records of one header and one value by built-in expressions.
+`graph` and `linear` take any list of patterns: a small machine reads each file's
+lines in order, with the record in hand as its only state, so a file of any
+length streams through its task.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lines of the job logs (fixed values).
 HEADER = r"^srun -N=(\d+) --ntasks-per-node=(\d+) (\w+)$"
 VALUE = r"^total time (\S+) s$"
 
@@ -36,7 +48,122 @@ def grouped(rows: DataFrame, value: str, *by: str, **aggregates: Column) -> Data
 
 def overhead(*columns: str) -> Column:
     """Sum of the listed columns."""
-    out = F.lit(0.0)
+    out = F.lit(0)
     for c in columns:
         out = out + F.col(c)
     return out
+
+
+@dataclass
+class Node:
+    """A kind of record: patterns that lines must match one after the other, and a label for each of their groups."""
+
+    patterns: list[str]
+    labels: list[str]
+    children: list[Node] = field(default_factory=list)
+
+    def every_label(self) -> list[str]:
+        return list(dict.fromkeys([*self.labels, *(x for c in self.children for x in c.every_label())]))
+
+
+class Graph:
+    """Reads lines along a tree of nodes; a leaf gives a row with the values of its whole path.
+
+    Behind a leaf, the next line that begins a node of the path goes on from
+    there: a sibling's parent keeps its values.  A line that begins the root
+    ends what is unfinished.  If it comes while a node waits for its next line,
+    it is used up by that, and what follows up to the next such line gives no
+    row; between nodes it begins the next record itself.
+    """
+
+    def __init__(self, root: Node) -> None:
+        self.root = root
+        self.reset()
+
+    def reset(self) -> None:
+        self.path: list[tuple[Node, dict]] = []
+        self.begin(self.root, {})
+
+    def begin(self, node: Node, values: dict) -> None:
+        self.node, self.at, self.groups, self.values, self.waits = node, 0, [], values, None
+
+    def feed(self, line: str) -> Iterator[dict]:
+        line = line.strip()
+        if self.waits is not None:
+            first = next((n for n in self.waits if re.match(n.patterns[0], line)), None)
+            if not self.leaf and re.match(self.root.patterns[0], line):
+                self.reset()
+            elif first is None:
+                return
+            elif self.leaf:
+                while self.path.pop()[0] is not first:
+                    pass
+                self.begin(first, dict(self.path[-1][1]) if self.path else {})
+            else:
+                self.begin(first, dict(self.values))
+        met = re.match(self.node.patterns[self.at], line)
+        if met:
+            self.groups += met.groups()
+            self.at += 1
+            if self.at == len(self.node.patterns):
+                self.values = self.values | dict(zip(self.node.labels, self.groups, strict=True))
+                self.path.append((self.node, self.values))
+                self.leaf = not self.node.children
+                self.waits = [n for n, _ in self.path] if self.leaf else self.node.children
+                if self.leaf:
+                    yield self.values
+        elif re.match(self.root.patterns[0], line):
+            self.reset()
+
+
+class Line:
+    """Reads records of a list of patterns, one line each, in order; a first line before a record's last one begins anew and counts as a fault."""
+
+    def __init__(self, patterns: list[str], labels: list[str]) -> None:
+        self.patterns, self.labels, self.at, self.values = patterns, labels, 0, []
+
+    def feed(self, line: str) -> Iterator[dict]:
+        line = line.rstrip()
+        met = re.match(self.patterns[self.at], line)
+        if not met:
+            met = re.match(self.patterns[0], line)
+            if not met:
+                return
+            self.at, self.values = 0, []
+            yield {"fault": "1"}
+        self.values = self.values + list(met.groups())
+        self.at += 1
+        if self.at == len(self.patterns):
+            yield dict(zip(self.labels, self.values, strict=True))
+            self.at, self.values = 0, []
+
+
+def machined(lines: DataFrame, make: Callable, labels: list[str]) -> DataFrame:
+    """(file, at, labels as text) of what a machine of each file gives, at being the line that ends the row. lines: (file, at, line)."""
+    kind = dict(lines.dtypes)["file"]
+    names = ["file", "at", *labels]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, machine = object(), None
+        for b in batches:
+            rows = []
+            for file, at, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file != now:
+                    now, machine = file, make()
+                rows += [(file, at, *(got.get(x) for x in labels)) for got in machine.feed(line or "")]
+            if rows:
+                types = [b.column(0).type, pa.int64(), *(pa.string() for _ in labels)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    ordered = lines.select("file", F.col("at").cast("long").alias("at"), "line").repartition("file").sortWithinPartitions("file", "at")
+    return ordered.mapInArrow(run, ", ".join([f"file {kind}", "at bigint", *(f"`{x}` string" for x in labels)]))
+
+
+def graph(lines: DataFrame, root: Node) -> DataFrame:
+    """(file, at, a column for each label of the tree): the rows of a parser graph; labels off a leaf's path are null."""
+    return machined(lines, lambda: Graph(root), root.every_label())
+
+
+def linear(lines: DataFrame, patterns: list[str], labels: list[str]) -> DataFrame:
+    """(file, at, labels, fault): records of a list of patterns, and a row with fault 1 for each that broke off."""
+    return machined(lines, lambda: Line(patterns, labels), [*labels, "fault"])

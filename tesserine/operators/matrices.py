@@ -21,9 +21,16 @@ def powered(matrix: DataFrame, vector: DataFrame, steps: int) -> DataFrame:
     return vector
 
 
-def sliced(matrix: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
-    """Entries of [rows) x [cols), counted from the slice's corner."""
+def by_column(matrix: DataFrame) -> DataFrame:
+    """Entries in column-major order."""
+    return matrix.orderBy("col", "row", "val")
+
+
+def sliced(matrix: DataFrame, rows: tuple[int, int], cols: tuple[int, int], shape: tuple[int, int] | None = None) -> DataFrame:
+    """Entries of [rows) x [cols), counted from the slice's corner; upper bounds end at the shape."""
     (a, b), (c, d) = rows, cols
+    if shape:
+        b, d = min(b, shape[0]), min(d, shape[1])
     inside = (F.col("row") >= a) & (F.col("row") < b) & (F.col("col") >= c) & (F.col("col") < d)
     return matrix.filter(inside).select((F.col("row") - a).alias("row"), (F.col("col") - c).alias("col"), "val")
 

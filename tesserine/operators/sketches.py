@@ -49,3 +49,34 @@ def cardinality(filter_: DataFrame, size: Size) -> DataFrame:
     m = 64.0 * size.words
     used = F.sum(F.bit_count("bits")) / F.lit(m)
     return filter_.agg(F.floor(-(m / size.hashes) * F.log(1 - used) + 0.5).cast("long").alias("estimate"))
+
+
+def memory(size: Size) -> int:
+    """Bytes of the bits of a filter."""
+    return 8 * size.words
+
+
+def cleared(filter_: DataFrame) -> DataFrame:
+    """The filter without any key."""
+    return filter_.filter("false")
+
+
+def places(key: Column, size: Size) -> Column:
+    """The bits of a key in a classic filter: a + i b modulo the bits, of two halves of hashes."""
+    half = lambda seed: F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 24)
+    return F.array_distinct(F.array(*(F.pmod(half(1) + i * half(2), F.lit(64 * size.words)) for i in range(size.hashes))))
+
+
+def classic(keys: DataFrame, key: Column, size: Size) -> DataFrame:
+    """(word, bits): a filter whose keys have bits anywhere."""
+    bit = keys.select(F.explode(places(key, size)).alias("bit"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
+    return bit.select(F.expr("bit div 64").alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+
+
+def classic_possible(rows: DataFrame, key: str, filter_: DataFrame, size: Size) -> DataFrame:
+    """(key): the distinct keys that a classic filter may hold."""
+    asked = rows.select(F.col(key).alias("key")).distinct().select("key", F.explode(places(F.col("key"), size)).alias("bit"))
+    met = asked.join(filter_, F.expr("bit div 64") == F.col("word"), "left")
+    held = F.coalesce(F.getbit("bits", (F.col("bit") % 64).cast("int")) == 1, F.lit(False))
+    return met.groupBy("key").agg(F.bool_and(held).alias("held")).filter("held").select(F.col("key").alias(key))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions import bases, text
-from tesserine.operators import chains, kmers
+from tesserine.operators import chains, kmers, tables
 from tesserine.plans.registry import query
 from tesserine.session import table
 
@@ -79,6 +79,41 @@ def q_pack_2bit(spark, sf_dir):
     return kmers.repeated(reads(spark, sf_dir)).select("kmer", bases.packed(F.col("kmer")).alias("packed"))
 
 
+def packed_sql(k: int) -> str:
+    """Windows of k bases packed to a signed number of 64 bits, and unpacked again."""
+    width = 4 * ((k + 3) // 4)
+    number = f"list_reduce(list_transform(string_split(rpad(translate(km,'ACGT','0123'),{width},'0'),''), lambda x: x::hugeint), lambda a, x: a*4+x)"
+    signed = f"(case when {number} >= 9223372036854775808::hugeint then {number} - 18446744073709551616::hugeint else {number} end)::bigint"
+    return f"with {READS}, w as (select doc_id, substr(s, 1, {k}) km from r where length(s) >= {k}) select doc_id, {signed} as packed, km as unpacked from w"
+
+
+def packed_starts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    km = reads(spark, sf_dir).filter(F.length("s") >= k).select("doc_id", bases.packed(F.substring("s", 1, k), k).alias("packed"))
+    return km.withColumn("unpacked", bases.unpacked(F.col("packed"), k))
+
+
+@query(packed_sql(13))
+def q_pack_13(spark, sf_dir):
+    return packed_starts(spark, sf_dir, 13)
+
+
+@query(packed_sql(31))
+def q_pack_31(spark, sf_dir):
+    return packed_starts(spark, sf_dir, 31)
+
+
+@query(f"with {READS} select doc_id, substr(s, 1, 51) as kmer, 2::bigint as words from r where length(s) >= 51")
+def q_unpack_51(spark, sf_dir):
+    """51 bases packed to words and unpacked again."""
+    w = reads(spark, sf_dir).filter(F.length("s") >= 51).select("doc_id", bases.packed_words(F.substring("s", 1, 51), 51).alias("w"))
+    return w.select("doc_id", bases.unpacked_words(F.col("w"), 51).alias("kmer"), F.size("w").cast("long").alias("words"))
+
+
+@query("select p_partkey, (list_reduce(list_prepend(5381::hugeint, list_transform(string_split(p_name,''), lambda x: ascii(x)::hugeint)), lambda h, b: (b+33*h)%18446744073709551616::hugeint))::varchar as hash from part")
+def q_djb2_wrapped(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", bases.djb2_wrapped(F.col("p_name")).cast("string").alias("hash"))
+
+
 @query("select p_partkey, list_reduce(list_prepend(5381::bigint, list_transform(string_split(p_name,''), lambda x: ascii(x)::bigint)), lambda h, b: (b+33*h)%2147483647)::bigint hash from part")
 def q_djb2_mod(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", bases.djb2(F.col("p_name")).alias("hash"))
@@ -100,7 +135,7 @@ def q_singletons(spark, sf_dir):
 @query(f"""with {WINDOWS}, u as (select lang, count(*)::bigint total, count(distinct least(km, reverse(translate(km,'ACGT','TGCA'))))::bigint uniq from k group by lang)
 select lang, total, uniq, uniq::varchar||' ('||((20000*uniq+total)//(2*total)//100)::varchar||'.'||lpad(((20000*uniq+total)//(2*total)%100)::varchar,2,'0')||'%)' ratio from u""")
 def q_unique_ratio(spark, sf_dir):
-    pairs = kmers.exploded(reads(spark, sf_dir), keep=("lang",)).groupBy("lang", bases.canonical(F.col("km")).alias("kmer")).agg(F.count("*").alias("n"))
+    pairs = kmers.canonical(reads(spark, sf_dir), keep=("lang",)).groupBy("lang", "kmer").agg(F.count("*").alias("n"))
     u = pairs.groupBy("lang").agg(F.sum("n").cast("long").alias("total"), F.count("*").alias("uniq"))
     return u.withColumn("ratio", text.perc_str(F.col("uniq"), F.col("total")))
 
@@ -116,19 +151,41 @@ def q_estimate_kmers(spark, sf_dir):
     return reads(spark, sf_dir).agg(F.count("*").alias("records"), F.sum(F.greatest(F.length("s") - K + 1, F.lit(0))).cast("long").alias("kmers"))
 
 
+SAMPLED = f"""with {READS}, f as (select lang, s, n_chars, row_number() over (partition by lang order by doc_id) as nth from r join (select doc_id as d, n_chars from documents) on d = doc_id),
+w as (select lang, sum(n_chars)::bigint as whole from f group by lang),
+p as (select lang, count(*)::bigint as n_read, sum(n_chars)::bigint as bytes, sum(case when nth <= 20 and length(s) >= {K} then length(s) - {K} + 1 else 0 end)::bigint as kmers from f where nth <= 21 group by lang),
+t as (select sum(n_read)::bigint as n_read, sum(kmers)::bigint as kmers, sum(whole // (bytes // n_read))::bigint as n_all from p join w using (lang))
+select floor(n_read / (n_read::double / n_all))::bigint records, floor(4 * n_read / (n_read::double / n_all))::bigint as lines, floor(kmers / (n_read::double / n_all))::bigint kmers from t"""
+
+
+@query(SAMPLED)
+def q_estimate_sampled(spark, sf_dir):
+    """The estimate from the first records of each file; a language's documents stand for a file, with a limit of 20 records."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", bases.read_of(F.col("text")).alias("s"))
+    return kmers.estimated(rows, "lang", "doc_id", F.col("n_chars"), 20)
+
+
 @query(f"with {COUNTS} select count(*)::bigint size from c")
 def q_dht_size(spark, sf_dir):
     return counts(spark, sf_dir).agg(F.count("*").alias("size"))
 
 
+@query(f"""with {COUNTS}, p as (select (cnt % 8)::bigint as part, count(*)::bigint n from c group by 1), a as (select ((count(*) * 11025 // 10000 + 1000) * 2)::bigint as capacity from c)
+select sum(n)::bigint as size, any_value(capacity) as capacity, round(avg(n * 8.0 / capacity), 9) as load, sum(n)::bigint // 8 as average from p, a""")
+def q_dht_load(spark, sf_dir):
+    """Size, presized capacity, mean load of eight parts and whole mean keys of a part."""
+    parts = counts(spark, sf_dir).groupBy((F.col("cnt") % 8).alias("part")).agg(F.count("*").alias("n"))
+    return tables.loaded(parts, "n", 8)
+
+
 @query(f"""with {COUNTS}, b as (select item_id, translate(upper(regexp_replace(lower(text),'[^acgtn]','','g')),'N','G') s from benchmark),
 w as (select item_id, unnest(list_transform(range(1, length(s)-{K}+2), lambda i: substr(s,i::int,{K}))) km from b where length(s) >= {K}),
 q as (select distinct item_id, least(km, reverse(translate(km,'ACGT','TGCA'))) kmer from w)
 select item_id, q.kmer, coalesce(cnt,0)::bigint cnt from q left join c using (kmer)""")
 def q_kmer_lookup(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", bases.read_of(F.col("text")).alias("s"))
-    keys = kmers.exploded(b, trim=0, keep=("item_id",)).select("item_id", bases.canonical(F.col("km")).alias("kmer")).distinct()
-    return kmers.looked_up(keys, counts(spark, sf_dir)).select("item_id", "kmer", "cnt")
+    keys = kmers.canonical(b, trim=0, keep=("item_id",)).distinct()
+    return kmers.looked_up(keys, kmers.counts_of(reads(spark, sf_dir), keys)).select("item_id", "kmer", "cnt")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +198,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAIN = "g as (select conv_id, turn, role, turn - row_number() over (partition by conv_id order by turn) + 1 as gap from conversations), w as (select * from g where gap = 0)"
 
 
+@query("select conv_id, max(turn) as turn from conversations group by conv_id")
+def q_chain_stops(spark, sf_dir):
+    """Rows that no other follows."""
+    n = nodes(spark, sf_dir)
+    stops = chains.stops(n.select("id", "before", "conv_id"))
+    return stops.select("conv_id", F.substring_index("id", "/", -1).cast("long").alias("turn"))
+
+
 @query("select conv_id, turn from conversations where turn = 0")
 def q_chain_starts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", "turn")

@@ -70,3 +70,54 @@ def q_log_mean(spark, sf_dir):
 @query(GROUPED.format(a='round(median(y), 6) med, round(stddev_samp(y), 6) std'))
 def q_log_median_std(spark, sf_dir):
     return by_task(spark, sf_dir, med=F.round(F.median("y"), 6), std=F.round(F.stddev_samp("y"), 6))
+
+
+def branched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a user; events of even number as three-line records, of odd number as two-line ones, each behind its header and a line that means nothing."""
+    e = table(spark, sf_dir, "events").filter("user_id is not null")
+    text_of = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    value = F.col("value").cast("decimal(18,2)")
+    head = text_of("srun -N=", 1 + F.col("user_id") % 32, " --ntasks-per-node=2 ", F.col("event_type"))
+    three = [text_of("req payload size is ", F.col("event_id") % 64, " Byte"), text_of("agg overhead is ", value, " us (total 1 s)"), text_of("Total MB to send is ", F.col("event_id"), " MB")]
+    two = [text_of("req payload size = ", F.col("event_id") % 64, " Byte"), text_of("Total MB to send is ", F.col("event_id"), " MB")]
+    lines = F.when(F.col("event_id") % 2 == 0, F.array(head, F.lit("noise"), *three)).otherwise(F.array(head, F.lit("noise"), *two))
+    return e.select(F.col("user_id").alias("file"), F.posexplode(lines).alias("p", "line"), "event_id").select("file", (8 * F.col("event_id") + F.col("p")).alias("at"), "line")
+
+
+BRANCHES = logs.Node(
+    [r"srun -N=(\d+) --ntasks-per-node=\d+ (.+)"],
+    ["node_num", "task"],
+    [
+        logs.Node([r"req payload size is (\d+) Byte", r".+ overhead is (.+) us \(total .+ s\)", r"Total MB to send is (\d+) MB"], ["payload", "overhead", "total"]),
+        logs.Node([r"req payload size = (\d+) Byte", r"Total MB to send is (\d+) MB"], ["payload", "total"]),
+    ],
+)
+
+
+@query("""select user_id as file, 8*event_id + (case when event_id % 2 = 0 then 4 else 3 end) as at, (1+user_id%32)::bigint node_num, event_type task, (event_id % 64)::bigint payload,
+case when event_id % 2 = 0 then value::decimal(18,2)::double end overhead, event_id as total from events where user_id is not null""")
+def q_log_graph(spark, sf_dir):
+    """Records of a header and one of two branches, by a graph of patterns."""
+    found = logs.graph(branched(spark, sf_dir), BRANCHES)
+    whole = {c: F.col(c).cast("long") for c in ("node_num", "payload", "total")}
+    return found.withColumns(whole | {"overhead": F.col("overhead").cast("double")})
+
+
+@query("""with e as (select user_id as file, event_id, event_id % 3 = 0 as broken, lag(event_id % 3 = 0) over (partition by user_id order by event_id) as after_broken from events where user_id is not null)
+select file, count(*) filter (not broken)::bigint as records, count(*) filter (after_broken)::bigint as faults from e group by file""")
+def q_log_faults(spark, sf_dir):
+    """Records and faults a file, where every third event has a header only."""
+    e = table(spark, sf_dir, "events").filter("user_id is not null")
+    head = F.concat(F.lit("srun -N="), (1 + F.col("user_id") % 32).cast("string"), F.lit(" --ntasks-per-node=2 "), "event_type")
+    done = F.concat(F.lit("Finished in "), F.col("value").cast("decimal(18,2)").cast("string"), F.lit(" s at noon"))
+    rows = e.select(F.col("user_id").alias("file"), F.posexplode(F.when(F.col("event_id") % 3 == 0, F.array(head)).otherwise(F.array(head, done))).alias("p", "line"), "event_id")
+    lines = rows.select("file", (2 * F.col("event_id") + F.col("p")).alias("at"), "line")
+    found = logs.linear(lines, [r"srun -N=(\d+) --ntasks-per-node=\d+ (.+)", r"Finished in (.+) s at .*"], ["node_num", "task", "total_time"])
+    counts = found.groupBy("file").agg(F.count_if(F.col("fault").isNull()).alias("records"), F.count_if(F.col("fault").isNotNull()).alias("faults"))
+    return e.select(F.col("user_id").alias("file")).distinct().join(counts, "file", "left").select("file", F.coalesce("records", F.lit(0)).cast("long").alias("records"), F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
+
+
+@query("select event_id, (value::decimal(18,2) + event_id)::double as overhead from events")
+def q_log_overhead(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").cast("decimal(18,2)").alias("a"), F.col("event_id").cast("decimal(18,0)").alias("b"))
+    return e.select("event_id", logs.overhead("a", "b").cast("double").alias("overhead"))

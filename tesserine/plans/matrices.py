@@ -51,6 +51,11 @@ def q_coo_sorted(spark, sf_dir):
     return coo(spark, sf_dir).orderBy("row", "col", "val")
 
 
+@query("select l_orderkey as row, l_partkey as col, l_quantity as val from lineitem order by 2, 1, 3")
+def q_coo_by_column(spark, sf_dir):
+    return matrices.by_column(coo(spark, sf_dir))
+
+
 @query("""with a as (select l_orderkey r, l_partkey c, l_quantity v from lineitem), b as (select * from a where v <> 50)
 select (select count(*) from (select * from a except all select * from b))::bigint only_a, (select count(*) from (select * from b except all select * from a))::bigint only_b""")
 def q_matrix_equal(spark, sf_dir):

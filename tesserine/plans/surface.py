@@ -23,6 +23,17 @@ def q_string_utils(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(text.split_tokens(u, "/")).cast("long").alias("parts"), text.replace_spaces(u).alias("no_spaces"), text.basename(u).alias("base"), text.without_extension(u).alias("stem"))
 
 
+@query("select page_id, replace(url, 'http', 'ht') as found from pages")
+def q_find_replace(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.replaced(F.col("url"), "http", "ht").alias("found"))
+
+
+@query("select o_orderkey, o_orderkey / 1e3 as us, o_orderkey / 1e6 as ms, o_orderkey / 1e9 as s from orders")
+def q_time_units(spark, sf_dir):
+    ns = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.micros(ns).alias("us"), text.millis(ns).alias("ms"), text.seconds(ns).alias("s"))
+
+
 def _sql_size(unit: str, power: int) -> str:
     d = 200 * (1 << power)
     v = f"((20000*n+{d // 2})//{d})"
@@ -121,7 +132,8 @@ def q_stream_counter(spark, sf_dir):
     return counters.counted(spark, f"{sf_dir}/events.parquet", "event_type")
 
 
-@query("""select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as "start", event_type, count(*)::bigint n from events group by 1, 2""")
+@query("""with w as (select max(ts) - interval 2 hour as mark from events)
+select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as "start", event_type, count(*)::bigint n from events, w where date_trunc('hour', ts) + interval 1 hour <= date_trunc('milliseconds', mark) group by 1, 2""")
 def q_stream_windows(spark, sf_dir):
     found = counters.windowed(spark, f"{sf_dir}/events.parquet", "ts", "1 hour", "2 hours", "event_type")
     return found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
@@ -134,13 +146,14 @@ def q_fastq_scan(spark, sf_dir):
     return files.fastq(spark, path)
 
 
-@query(f"with {COUNTS} select kmer, substr(kmer,1,1) b_ext, 'F' f_ext from c where cnt >= 2")
+@query(f"with {COUNTS} select kmer, substr(kmer,1,1) b_ext, case when cnt % 2 = 0 then 'F' else substr(kmer,{K},1) end f_ext from c where cnt >= 2")
 def q_kmer_table_scan(spark, sf_dir):
     from tesserine.operators import kmers
 
     path = shared_path(spark, "kmers")
-    sinks.kmer_rows(kmers.repeated(reads(spark, sf_dir)).select("kmer", F.substring("kmer", 1, 1).alias("b_ext"), F.lit("F").alias("f_ext")), path)
-    return files.kmer_table(spark, path, K)
+    last = F.when(F.col("cnt") % 2 == 0, "F").otherwise(F.substring("kmer", K, 1))
+    sinks.kmer_rows(kmers.repeated(reads(spark, sf_dir)).select("kmer", F.substring("kmer", 1, 1).alias("b_ext"), last.alias("f_ext")), path)
+    return files.kmer_table(spark, path, files.kmer_width(spark, path))
 
 
 @query(f"with {READS} select (4*count(*))::bigint as lines from r")

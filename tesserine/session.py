@@ -35,6 +35,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; where that is unset, as in local tests, in one of our own."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tesserine-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at}/{label}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def kmer_dump(counts: DataFrame, path: str) -> None:
-    """Lines `KMER COUNT`, gzip."""
+    """Lines `KMER COUNT`, gzip, a part for each task."""
     counts.select(F.concat_ws(" ", "kmer", F.col("cnt").cast("string"))).write.option("compression", "gzip").text(path)
 
 
@@ -40,8 +40,11 @@ def matrix_market(matrix: DataFrame, path: str, m: int, n: int) -> None:
     body.write.mode("append").text(path)
 
 
-def binary_csr(matrix: DataFrame, path: str, m: int, n: int) -> None:
-    """One local file, from the driver: for matrices that fit there, as the format has one file."""
+def binary_csr(matrix: DataFrame, path: str, m: int, n: int, most: int = 50_000_000) -> None:
+    """One local file, from the driver, as the format has one file without parts; a matrix of more than `most` entries is refused."""
+    nnz = matrix.count()
+    if nnz > most:
+        raise ValueError(f"{nnz} entries do not go into one file; write Matrix Market parts instead")
     rows = matrix.orderBy("row", "col").toPandas()
     ptr = np.concatenate(([0], np.cumsum(np.bincount(rows["row"], minlength=m)))).astype("<u8")
     with open(path, "wb") as f:

@@ -9,25 +9,29 @@ from tesserine.session import shared_path
 
 
 def drained(stream: DataFrame, mode: str, label: str) -> DataFrame:
-    """Runs a streaming query over all that is there and gives its last result, written in the shared folder."""
+    """Runs a streaming query over all that is there; gives its last result (complete) or all that it put out (append), written in the shared folder.
+
+    A batch that is run again overwrites its own folder.
+    """
     spark = stream.sparkSession
-    out, last = shared_path(spark, label), []
+    out, seen = shared_path(spark, label), {}
 
     def keep(batch: DataFrame, number: int) -> None:
         path = f"{out}/{number}"
         batch.write.mode("overwrite").parquet(path)
-        last.append(path)
+        seen[number] = path
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", shared_path(spark, label)).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+    paths = [seen[k] for k in sorted(seen)]
+    return spark.read.schema(stream.schema).parquet(*(paths if mode == "append" else paths[-1:])) if paths else spark.createDataFrame([], stream.schema)
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of parquet files: of a folder, or one file by its name."""
+def files(spark: SparkSession, path: str, at_once: int = 1000) -> DataFrame:
+    """A stream of parquet files, so many in a batch: of a folder, or one file by its name."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     alone = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", at_once)
     if alone:
         folder, name = path.rsplit("/", 1)
         return reader.option("pathGlobFilter", name).parquet(folder)
@@ -39,7 +43,12 @@ def counted(spark: SparkSession, path: str, *by: str) -> DataFrame:
     return drained(files(spark, path).groupBy(*by).agg(F.count("*").alias("n")), "complete", "counter")
 
 
-def windowed(spark: SparkSession, path: str, time: str, width: str, late: str, *by: str) -> DataFrame:
-    """Counts by event-time window with a watermark; windows that the watermark has passed are final."""
-    rows = files(spark, path).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    return drained(rows.groupBy(F.window(time, width), *by).agg(F.count("*").alias("n")), "complete", "windows")
+def windowed(spark: SparkSession, path: str, time: str, width: str, late: str, *by: str, at_once: int = 1000) -> DataFrame:
+    """Counts by event-time window of the windows that the watermark has passed.
+
+    The watermark trails the greatest time seen by `late`; a window leaves the
+    state when it passes and is final then, rows that come for it later are not
+    counted, and windows that it has not passed by the end are not put out.
+    """
+    rows = files(spark, path, at_once).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return drained(rows.groupBy(F.window(time, width), *by).agg(F.count("*").alias("n")), "append", "windows")
