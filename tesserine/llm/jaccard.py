@@ -13,8 +13,9 @@ by hash to one part more than that number, some part is the same in both.
    lists are sliced to the sizes that may link, the short ones are merged and
    the long ones probed by binary search (DivideSkip) for sets that reach the
    required overlap.  Sets already known to be connected are not searched
-   again.  A group over `block` sets is dealt out by pairs of blocks, so no
-   task holds more than two blocks.
+   again.  A group over `block` sets or over `members` shingles in them is dealt
+   out by pairs of blocks, so no task holds more than two blocks (a set larger
+   than a block stands in one with few others).
 4. The links' components are the classes.
 
 Defined results: a null or empty text, or one without a word, has the empty set
@@ -313,7 +314,7 @@ def search_groups(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[
         yield out
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, at_least: int = 90, block: int = 2048) -> DataFrame:
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, at_least: int = 90, block: int = 2048, members: int = 1 << 21) -> DataFrame:
     """The key with n_shingles and component_id, one row a row of df; the key is an integer."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
@@ -322,7 +323,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     keys = rows.filter("kind = 3").select("a", F.col("b").cast("int").alias("n"), "data").repartition(deal, "a").select("n", "data")
     rough = rows.filter("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(keys.mapInArrow(rough_edges, "u bigint, v bigint"))
     groups = components(rough, "rough")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = rows.filter("kind = 0").select("a", "b")
+    sizes = groups.join(own.hint("merge"), groups["node"] == own["a"]).groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("b") / members)).cast("int").alias("blocks"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -335,8 +337,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([hashes[at[r] : at[r + 1]].tobytes() for r in range(j - i)], pa.binary())], ["group", "blocks", "k", "data"])
 
     # merged at every size: groups grow with the documents and are not to be sent to every task
-    members = docs.join(groups.hint("merge"), docs["k"] == groups["node"]).join(sizes, "root").select("root", "blocks", "k", "t")
-    sets = members.mapInArrow(to_sets, "group bigint, blocks int, k bigint, data binary")
+    texts = docs.join(groups.hint("merge"), docs["k"] == groups["node"]).join(sizes, "root").select("root", "blocks", "k", "t")
+    sets = texts.mapInArrow(to_sets, "group bigint, blocks int, k bigint, data binary")
     mine = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     pairs = sets.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("group", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "k", "data")
@@ -344,7 +346,6 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     links = dealt.mapInArrow(lambda batches: search_groups(batches, at_least), "u bigint, v bigint")
     copies = rows.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(links.unionByName(copies), "classes")
-    own = rows.filter("kind = 0").select("a", "b")
     found = own.join(roots, own["a"] == roots["node"], "left")
     return found.select(F.col("a").alias(key), F.col("b").alias("n_shingles"), F.coalesce("root", "a").alias("component_id"))
 

@@ -69,11 +69,11 @@ def variants(rng, n=40, words=120):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 2048])
-def test_jaccard_join(frame, block):
+@pytest.mark.parametrize("block, members", [(7, 1 << 21), (2048, 1 << 21), (2048, 300)])
+def test_jaccard_join(frame, block, members):
     rng = random.Random(2)
     texts = [*EDGES, *variants(rng), *variants(rng, 20, 12), *variants(rng, 20, 30), *(" ".join(f"u{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20))]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(frame(texts).repartition(3), block=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(frame(texts).repartition(3), block=block, members=members).collect()}
     assert got == linked_docs(dict(enumerate(texts)))
 
 
