@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.functions.bases import K, canonical_windows, windows
+from tesserine.functions.bases import K, revcomp, windows
 
 
 def exploded(reads: DataFrame, k: int = K, trim: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -15,17 +15,36 @@ def exploded(reads: DataFrame, k: int = K, trim: int = 1, keep: tuple[str, ...]
 
 def counts(reads: DataFrame, k: int = K) -> DataFrame:
     """(kmer, cnt) of canonical windows without each read's first and last. Partial sums in the scan's stage take the place of a Bloom pre-filter."""
-    return canonical(reads, k).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    return _as_text(_canonical(reads, k).groupBy("kmer").agg(F.count("*").alias("cnt")))
+
+
+def _canonical(reads: DataFrame, k: int, trim: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical windows as bytes.
+
+    A window's reverse complement is the window at the mirrored place of the
+    read's, which is made once; places are exploded and windows cut from bytes,
+    all in generated code.
+    """
+    n = F.length("s")
+    rows = reads.filter(n >= k + 2 * trim).select(*keep, n.alias("n"), F.col("s").cast("binary").alias("b"), revcomp(F.col("s")).cast("binary").alias("r"))
+    # a select of its own, so that what a read has once is made before the explosion
+    rows = rows.select(*keep, "n", "b", "r", F.explode(F.sequence(F.lit(1 + trim), F.col("n") - k + 1 - trim)).alias("i"))
+    return rows.select(*keep, F.least(F.substring("b", F.col("i"), F.lit(k)), F.substring("r", F.col("n") - F.col("i") - k + 2, F.lit(k))).alias("kmer"))
+
+
+def _as_text(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("kmer", F.col("kmer").cast("string"))
 
 
 def canonical(reads: DataFrame, k: int = K, trim: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a window of column s, in its canonical form, in column kmer."""
-    return reads.filter(F.length("s") >= k + 2 * trim).select(*keep, F.explode(canonical_windows(F.col("s"), k, trim)).alias("kmer"))
+    return _as_text(_canonical(reads, k, trim, keep))
 
 
 def counts_of(reads: DataFrame, keys: DataFrame, k: int = K) -> DataFrame:
     """counts of those k-mers that keys (kmer) has: others leave before the aggregate and its shuffle."""
-    return canonical(reads, k).join(keys.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("cnt"))
+    asked = keys.select(F.col("kmer").cast("binary").alias("kmer")).distinct()
+    return _as_text(_canonical(reads, k).join(asked, "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("cnt")))
 
 
 def estimated(reads: DataFrame, file: str, order: str, size: Column, limit: int = 100_000, k: int = K) -> DataFrame:

@@ -86,11 +86,11 @@ def test_hash_and_complement(spark):
 
 def test_canonical_windows(spark):
     reads = ["ACGTTGCATTA", "AC", "", "GGGGGGG"]
-    df = spark.createDataFrame([(r,) for r in reads], "s string")
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(reads)], "n long, s string")
     for trim in (0, 1):
-        for r in df.select("s", bases.windows(F.col("s"), 3, trim).alias("w"), bases.canonical_windows(F.col("s"), 3, trim).alias("c")).collect():
-            want = [r.s[i : i + 3] for i in range(trim, len(r.s) - 2 - trim)]
-            assert r.w == want and r.c == [min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA"))) for x in want]
+        got = sorted((r.n, r.kmer) for r in kmers.canonical(df.withColumnRenamed("n", "read"), 3, trim, ("read",)).toDF("n", "kmer").collect())
+        windows = [(i, s[at : at + 3]) for i, s in enumerate(reads) for at in range(trim, len(s) - 2 - trim)]
+        assert got == sorted((i, min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA")))) for i, x in windows)
 
 
 def test_counts_of_keys(spark):
