@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -63,6 +65,13 @@ class Sent:
         return self.held[0]
 
 
+def trimmed() -> None:
+    """Gives memory that a worker has freed back to the system, so that what one stage needed does not add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def no_nulls_id(column: str = "doc_id"):
     """crc32 of an id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
