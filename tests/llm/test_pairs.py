@@ -1,6 +1,7 @@
 """Line dedup, the Jaccard join, neighbours, urls, language model and the pipeline against brute force, with edge cases."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -165,6 +166,16 @@ def test_links_near_the_bound(frame):
     assert recall_of(frame, pairs) >= 0.993
 
 
+def test_unlike_lines_seldom_meet(spark):
+    """Short lines of few letters have many shingles in common; were they to meet in bands, the work would grow as the square of the lines."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(("an", "er", "th", "in", "on", "re")) for _ in range(rng.randint(1, 3)))
+    texts = [(i, i, " ".join(word() for _ in range(rng.randint(8, 14)))) for i in range(1500)]
+    bands = lines.sketched(spark.createDataFrame(texts, "h long, place long, line string")).select("h", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("h").alias("h")).collect()
+    pairs = {p for r in bands for p in itertools.combinations(sorted(r.h), 2)}
+    assert sum(likeness(texts[a][2], texts[b][2]) < 0.8 for a, b in pairs) < 1000
+
+
 def test_lines_that_can_be_alike_are_not_ruled_out(spark):
     rng, rows = random.Random(3), []
     for k in range(400):
