@@ -51,8 +51,6 @@ GATHER = 250_000
 PARTS = 8
 #: Contexts: the start of a text, own words and classes; a code of 16 bits.
 CONTEXTS = 1 << 16
-#: Of so many documents one is read to find the words that have a context of their own.
-LOOKED_AT = 16
 #: Customers up to which the number of tables is drawn at once; above, they move one by one.
 SMALL = 1024
 #: Times that the customers of a larger one sit down anew in its first sweep.
@@ -92,19 +90,27 @@ def context_of(word: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.where(own[at] == word, 1 + at, rest)
 
 
-def frequent_words(learned: DataFrame, own: int, key: str = "k") -> np.ndarray:
-    """The own words that occur most often in a sixteenth of the documents: it only decides which contexts stand alone."""
+def frequent_words(learned: DataFrame, own: int) -> np.ndarray:
+    """The own words that occur most often in all documents, of those found twice or more."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["w", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, held, count = WordHasher(), [], 0
         for b in batches:
             offsets, data = utf8(b.column(0))
             for i, j in slices(offsets):
-                words, n = np.unique(hasher(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["w", "n"])
-
-    some = learned.filter(F.pmod(F.xxhash64(key), F.lit(LOOKED_AT)) == 0).select("t")
-    counts = some.mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
+                held.append(hasher(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])[1])
+                count += len(held[-1])
+                if count >= GATHER:
+                    yield counted(held)
+                    held, count = [], 0
+        if held:
+            yield counted(held)
+
+    counts = learned.select("t").mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
     found = counts.orderBy(F.desc("n"), "w").limit(own).select("w").toPandas()
     return np.sort(found["w"].to_numpy(np.int64).view(np.uint64))
 

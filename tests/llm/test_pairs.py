@@ -572,6 +572,13 @@ def test_scores_against_a_plain_sampler(spark, frame):
     assert abs(sum(got.values()) - sum(want.values())) < 0.01 * abs(sum(want.values())) < abs(sum(base.values()) - sum(want.values()))
 
 
+def test_frequent_words_of_all_documents(spark):
+    """A word that occurs most often, but in none of the documents that a sample by id once held."""
+    df = spark.range(200).select(F.col("id").alias("k"), F.when(F.pmod(F.xxhash64("id"), F.lit(16)) == 0, "a a a a").otherwise("z z z b").alias("t"))
+    z = lm.WordHasher()(np.array([0, 1]), np.frombuffer(b"z", np.uint8))[1]
+    assert lm.frequent_words(df, 1).tolist() == z.tolist()
+
+
 def test_scores_do_not_depend_on_partitions(spark, frame):
     df = frame([*EDGES, *["the cat sat on the mat", "a dog ran on a log", "the dog sat"] * 30])
     found = []
