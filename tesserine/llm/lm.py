@@ -38,7 +38,7 @@ from random import Random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import in_worker
@@ -191,6 +191,11 @@ def count(learned: DataFrame, own: Sent, buckets: int) -> DataFrame:
     return learned.mapInArrow(run, "bucket int, data binary")
 
 
+def least_wide(n: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes."""
+    return n.astype(np.min_scalar_type(n.max(initial=0)))
+
+
 def narrow(n: np.ndarray) -> np.ndarray:
     """Counts in 32 bits where they fit."""
     return n.astype(np.uint32 if not len(n) or n.max() < 1 << 32 else np.int64)
@@ -397,8 +402,8 @@ def swept(seats: DataFrame, totals: Totals, sample: bool, seed: int) -> tuple[Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket, part, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = Seats(**pickle.loads(data))
+            for bucket, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                s = Seats(**pickle.loads(data.as_buffer()))
                 tables, parents, c = s.tables.copy(), int(s.parent_tables.sum()), int(s.customers().sum())
                 s = sweep(s, sent.value, sample, seed)
                 trimmed()
@@ -425,17 +430,44 @@ def swept(seats: DataFrame, totals: Totals, sample: bool, seed: int) -> tuple[Da
     return now.drop("more"), after
 
 
-def bucket_scores(blobs: list[tuple], seats: list[Seats], totals: list[Totals], contexts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each share of a task: (its number, documents, [known tokens, base score, score] of each)."""
+def by_part(words: np.ndarray, n: np.ndarray, code: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple[int, tuple]]:
+    """A bucket's distinct words with their tokens, grouped by word, as the parts of the bucket: (part, the same four of it)."""
+    of = (words % np.uint64(buckets * PARTS) // np.uint64(buckets)).astype(np.uint8)
+    token = np.repeat(of, n)
+    own, at = np.argsort(of, kind="stable"), np.argsort(token, kind="stable")
+    ends, last = np.cumsum(np.bincount(of, minlength=PARTS)), np.cumsum(np.bincount(token, minlength=PARTS))
+    for part, (a, z, i, j) in enumerate(zip([0, *ends[:-1]], ends, [0, *last[:-1]], last, strict=True)):
+        if z > a:
+            yield part, (words[own[a:z]], n[own[a:z]], code[at[i:j]], docs[at[i:j]])
+
+
+def pairs_of(shares: list[tuple], spot: list[np.ndarray], contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of word's place and context, tokens of each) of the documents learned from."""
+    key, used = np.empty(sum(len(s[3]) for s in shares), np.int64), 0
+    for (_, _, n, code, docs, train), own in zip(shares, spot, strict=True):
+        learned = np.unpackbits(train)[docs].astype(bool)
+        more = np.repeat(own, n)[learned] * contexts + code[learned]
+        key[used : used + len(more)] = more
+        used += len(more)
+    key = key[:used]
+    key.sort()
+    first = np.flatnonzero(np.concatenate(([True] * (used > 0), key[1:] != key[:-1])))
+    return key[first], np.diff(np.append(first, used))
+
+
+def bucket_scores(shares: list[tuple], seats: list[Seats], totals: list[Totals], contexts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each share of a task: (its number, [known tokens, base score, score] of its documents up to the last one met).
+
+    shares: (number, distinct words, tokens of each, their contexts, their documents, bits of the documents learned from).
+    Only pairs and one share's tokens at a time are held in wide numbers.
+    """
     learned, whole = totals[0], {int(s.words[0]): s for s in seats[1:]}
     main = seats[0] if seats else None
     # counts of the words whose tokens are all here
-    trained = [(w, code) for _, w, code, docs, train in blobs for w, code in [(w[train], code[train])]]
-    words, at = np.unique(np.concatenate([w for _, w, *_ in blobs]), return_inverse=True)
+    words, back = np.unique(np.concatenate([s[1] for s in shares]), return_inverse=True)
+    spots = np.split(back, np.cumsum([len(s[1]) for s in shares])[:-1])
     n = len(words)
-    own, code = np.concatenate([w for w, _ in trained]), np.concatenate([c for _, c in trained])
-    spot = np.searchsorted(words, own)
-    pair, c = np.unique(spot * contexts + code, return_counts=True)
+    pair, c = pairs_of(shares, spots, contexts)
     total = np.bincount(pair // contexts, c, n).astype(np.int64)
     samples = [(np.ones(len(pair)), np.bincount(pair // contexts, minlength=n).astype(float), (total > 0).astype(float)) for _ in totals]
     extra_pair, extra_c, extra_t = [], [], [[] for _ in totals]
@@ -464,18 +496,22 @@ def bucket_scores(blobs: list[tuple], seats: list[Seats], totals: list[Totals],
         samples = [(np.concatenate([t[~hot], *x])[order], u, v) for (t, u, v), x in zip(samples, extra_t, strict=True)]
     parent = [t.parent(u, v) for t, (_, u, v) in zip(totals, samples, strict=True)]
     base = np.log10((total + 1) / (learned.tokens + learned.words + 1))
-    begin = 0
-    for number, w, code, docs, _ in blobs:
-        word = at[begin : begin + len(w)]
-        begin += len(w)
+    for (number, _, size, code, docs, _), spot in zip(shares, spots, strict=True):
+        word = np.repeat(spot, size)
         want = word * contexts + code
-        spot = np.minimum(np.searchsorted(pair, want), max(len(pair) - 1, 0))
-        met = pair[spot] == want if len(pair) else np.zeros(len(want), bool)
-        p = np.zeros(len(w))
+        at = np.minimum(np.searchsorted(pair, want), max(len(pair) - 1, 0))
+        met = pair[at] == want if len(pair) else np.zeros(len(want), bool)
+        p = np.zeros(len(word))
         for t, (tables, _, _), up in zip(totals, samples, parent, strict=True):
-            p += t.child(code, np.where(met, c[spot], 0) if len(pair) else 0, np.where(met, tables[spot], 0) if len(pair) else 0, up[word])
-        them, back = np.unique(docs, return_inverse=True)
-        yield number, them, np.stack([np.bincount(back, x, len(them)) for x in (total[word] > 0, base[word], np.log10(p / len(totals)))])
+            p += t.child(code, np.where(met, c[at], 0) if len(pair) else 0, np.where(met, tables[at], 0) if len(pair) else 0, up[word])
+        yield number, np.stack([np.bincount(docs, x) for x in (total[word] > 0, base[word], np.log10(p / len(totals)))])
+
+
+def spread_evenly(spark: SparkSession, n: int) -> np.ndarray:
+    """Keys for n buckets of which a shuffle brings no two to one partition, where there are n partitions; by their numbers several meet and others stay empty."""
+    found = spark.range(40 * n).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at"))
+    found = {r["at"]: r["key"] for r in found.groupBy("at").agg(F.min("key").alias("key")).collect()}
+    return np.array([found.get(k, 40 * n + k) for k in range(n)], np.int32)
 
 
 def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", own: int = 32_000, burn_in: int = 3, samples: int = 2, seed: int = 11, share: float = 2.0, least_frequent: int = 50_000) -> DataFrame:
@@ -497,12 +533,13 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
 
     def word_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                s = Seats(**pickle.loads(data))
+            for data in b.column(0):
+                s = Seats(**pickle.loads(data.as_buffer()))
                 yield pa.RecordBatch.from_arrays([pa.array([int(s.words[0].view(np.int64))]), pa.array([int(s.count[0])])], ["w", "n"])
 
     # frequent words hold more than a share of a bucket each, so there are at most a few for each bucket
     often = {int(np.int64(r["w"]).view(np.uint64)): min(buckets, 1 + r["n"] // mean) for r in seats.filter("part > 0").select("data").mapInArrow(word_of, "w bigint, n bigint").collect()}
+    keys_of = spread_evenly(spark, buckets)
     sent = Sent(spark, (kept, often))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,49 +560,48 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
             for k, own in dealt(bucket[order], buckets):
                 own = order[own]
                 words, at = np.unique(word[own], return_inverse=True)
-                out.append((k, 2, number, pickle.dumps((words, np.bincount(at).astype(np.uint32), context[own].astype(np.uint16), docs[own].astype(np.uint32), np.packbits(~held)), 5)))
+                out.append((keys_of[k], 2, number, pickle.dumps((words, least_wide(np.bincount(at)), context[own].astype(np.uint16), least_wide(docs[own]), np.packbits(~held)), 5)))
             size = np.bincount(docs, minlength=len(keys))
-            out.append((number % buckets, 0, number, pickle.dumps((keys.to_pylist(), held, size), 5)))
+            out.append((keys_of[number % buckets], 0, number, pickle.dumps((keys.to_pylist(), held, size), 5)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.binary())], ["bucket", "what", "number", "data"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket, part, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ways = 1 if part == 0 else sent.value[1][int(pickle.loads(data)["words"][0])]
+            for bucket, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                ways = 1 if part == 0 else sent.value[1][int(pickle.loads(data.as_buffer())["words"][0])]
                 to = [(bucket % buckets + k) % buckets for k in range(ways)]
                 for k in to:
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([1 if part == 0 else 3], pa.int32()), pa.array([bucket // buckets], pa.int64()), pa.array([data], pa.binary())], ["bucket", "what", "number", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([keys_of[k]], pa.int32()), pa.array([1 if part == 0 else 3], pa.int32()), pa.array([bucket // buckets], pa.int64()), pa.array([data.as_py()], pa.binary())], ["bucket", "what", "number", "data"])
 
     def judge(group: pa.Table) -> pa.Table:
         kept_totals, out = sent.value[0], []
         rows = list(zip(group.column("what").to_pylist(), group.column("number").to_pylist(), group.column("data"), strict=True))
         sums: dict[int, np.ndarray] = {}
         empty = np.zeros(0, np.int64)
+        shares: list[list] = [[] for _ in range(PARTS)]
+        for what, number, data in rows:
+            if what == 2:
+                words, n, context, docs, train = pickle.loads(data.as_buffer())
+                for part, own in by_part(words, n, context, docs, buckets):
+                    shares[part].append((number, *own, train))
         for part in range(PARTS):
             trimmed()
-            blobs, main, frequent = [], Seats(empty.astype(np.uint64), *[empty] * 9, [(empty, empty, empty)] * len(kept_totals)), []
+            main, frequent = Seats(empty.astype(np.uint64), *[empty] * 9, [(empty, empty, empty)] * len(kept_totals)), []
             for what, number, data in rows:
                 if what == 1 and number == part:
                     main = Seats(**pickle.loads(data.as_buffer()))
                 elif what == 3 and number == part:
                     frequent.append(Seats(**pickle.loads(data.as_buffer())))
-                elif what == 2:
-                    words, n, context, docs, train = pickle.loads(data.as_buffer())
-                    word = np.repeat(words, n)
-                    own = np.flatnonzero(word % np.uint64(buckets * PARTS) // np.uint64(buckets) == part)
-                    docs = docs[own].astype(np.int64)
-                    blobs.append((number, word[own], context[own].astype(np.int64), docs, np.unpackbits(train)[docs].astype(bool)))
-            if sum(len(b[1]) for b in blobs):
-                for number, docs, some in bucket_scores(blobs, [main, *frequent], kept_totals, CONTEXTS):
-                    if len(docs):
-                        held = sums.get(number)
-                        top = int(docs[-1]) + 1
-                        if held is None or held.shape[1] < top:
-                            more = np.zeros((3, top))
-                            if held is not None:
-                                more[:, : held.shape[1]] = held
-                            held = sums[number] = more
-                        held[:, docs] += some
+            if shares[part]:
+                for number, some in bucket_scores(shares[part], [main, *frequent], kept_totals, CONTEXTS):
+                    top, held = some.shape[1], sums.get(number)
+                    if held is None or held.shape[1] < top:
+                        more = np.zeros((3, top))
+                        if held is not None:
+                            more[:, : held.shape[1]] = held
+                        held = sums[number] = more
+                    held[:, :top] += some
+            shares[part] = []
         for what, number, data in rows:
             if what == 0:
                 out.append((number, data.as_py()))

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -592,6 +593,39 @@ def test_scores_do_not_depend_on_partitions(spark, frame):
     assert all(math.isclose(found[0][i], found[1][i], rel_tol=1e-9) for i in found[0])
 
 
+def test_scoring_a_bucket_holds_few_bytes_a_token():
+    """Many tokens of few words: their wide numbers do not all exist at once."""
+    rng, n, contexts = np.random.default_rng(5), 20_000, 1 << 16
+    words = np.sort(rng.integers(0, 1 << 63, 200).astype(np.uint64))
+    shares = []
+    for k in range(40):
+        size = rng.multinomial(n, np.ones(200) / 200)
+        shares.append((k, words, size.astype(np.uint16), rng.integers(0, contexts, n).astype(np.uint16), rng.integers(0, 700, n).astype(np.uint16), np.packbits(np.ones(700, bool))))
+    empty = np.zeros(0, np.int64)
+    main = lm.Seats(empty.astype(np.uint64), *[empty] * 9, [(empty, empty, empty)] * 2)
+    totals = lm.Totals(40 * n, 200, np.full(contexts, 12), np.full(contexts, 12), 40 * n, 200)
+    tracemalloc.start()
+    got = sum(1 for _, some in lm.bucket_scores(shares, [main], [totals, totals], contexts) if (some[0] > 0).all())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = len({(w, c) for _, _, size, code, _, _ in shares for w, c in zip(np.repeat(words, size).tolist(), code.tolist(), strict=True)})
+    assert got == 40 and peak < 20 * 40 * n + 100 * pairs
+
+
+@pytest.mark.parametrize("n", [8, 51])
+def test_buckets_meet_in_no_partition(spark, n):
+    keys = lm.spread_evenly(spark, n)
+    df = spark.createDataFrame([(int(k),) for k in keys], "bucket int").repartition(n, "bucket")
+    assert df.select(F.spark_partition_id().alias("at")).distinct().count() == n
+
+
+def test_parts_of_a_bucket():
+    words, n = np.array([3, 3 + 8, 4, 9], np.uint64), np.array([2, 1, 3, 1])
+    code, docs = np.arange(7), np.arange(10, 17)
+    got = dict(lm.by_part(words, n, code, docs, 1))
+    assert {k: [x.tolist() for x in v] for k, v in got.items()} == {3: [[3, 11], [2, 1], [0, 1, 2], [10, 11, 12]], 4: [[4], [3], [3, 4, 5], [13, 14, 15]], 1: [[9], [1], [6], [16]]}
+
+
 def test_own_contexts(spark, frame):
     words = lm.frequent_words(frame(["b b b c c a " * 3] * 200).select(F.col("doc_id").alias("k"), F.col("text").alias("t")), 2)
     assert len(words) == 2 and (np.diff(words.astype(object)) > 0).all()
