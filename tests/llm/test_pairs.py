@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import os
 import random
 import re
 import tracemalloc
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tesserine.llm import ann, graph, jaccard, langid, lines, lm, queries, secrets, urls
+from tesserine.llm.common import drop_written, written
 
 EDGES = [None, "", " \n\t ", "one", "one", "One", "two words", "Two  words", "x" * 70_000, "a b c", "A b C", "a b c d"]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,6 +179,17 @@ def test_unlike_lines_seldom_meet(spark):
     assert sum(likeness(texts[a][2], texts[b][2]) < 0.8 for a, b in pairs) < 1000
 
 
+def test_sketches_take_few_bytes_and_generated_code(spark):
+    rng = random.Random(8)
+    texts = [("".join(rng.choices("abcdefgh ", k=rng.choice([30, 120, 300]))) + "x",) for _ in range(20_000)]
+    sketches = lines.minima(spark.createDataFrame(texts, "line string").select(F.xxhash64("line").alias("h"), "line"))
+    assert "lambda" not in sketches._jdf.queryExecution().optimizedPlan().toString()
+    table = written(sketches, "lines")
+    held = sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in table.inputFiles())
+    assert held < 130 * table.count()
+    drop_written(table)
+
+
 def test_lines_that_can_be_alike_are_not_ruled_out(spark):
     rng, rows = random.Random(3), []
     for k in range(400):
