@@ -90,6 +90,20 @@ def context_of(word: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.where(own[at] == word, 1 + at, rest)
 
 
+def most_frequent(counts: DataFrame, own: int) -> DataFrame:
+    """Of counts (w, n) the own words of greatest n, of equal ones those of least w. Only numbers of words by n come to the driver, not a list of each task."""
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    upto = np.cumsum(sizes["words"].to_numpy(np.int64))
+    k = int(np.searchsorted(upto, own))
+    if k == len(upto):
+        return counts.select("w")
+    last = int(sizes["n"].iloc[k])
+    if upto[k] == own:
+        return counts.filter(F.col("n") >= last).select("w")
+    rest = own - (int(upto[k - 1]) if k else 0)
+    return counts.filter(F.col("n") > last).select("w").unionByName(counts.filter(F.col("n") == last).orderBy("w").limit(rest).select("w"))
+
+
 def frequent_words(learned: DataFrame, own: int) -> np.ndarray:
     """The own words that occur most often in all documents, of those found twice or more."""
 
@@ -110,8 +124,9 @@ def frequent_words(learned: DataFrame, own: int) -> np.ndarray:
         if held:
             yield counted(held)
 
-    counts = learned.select("t").mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
-    found = counts.orderBy(F.desc("n"), "w").limit(own).select("w").toPandas()
+    counts = written(learned.select("t").mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1"), "counts")
+    found = most_frequent(counts, own).toPandas()
+    drop_written(counts)
     return np.sort(found["w"].to_numpy(np.int64).view(np.uint64))
 
 

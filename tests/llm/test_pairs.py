@@ -593,6 +593,19 @@ def test_frequent_words_of_all_documents(spark):
     assert lm.frequent_words(df, 1).tolist() == z.tolist()
 
 
+def test_most_frequent_words_without_a_list_of_each_task(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), rng.choice([2, 3, 3, 9, k + 10])) for k in range(300)]
+    counts = spark.createDataFrame(rows, "w long, n long")
+    order = [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    above = sum(n > 3 for _, n in rows)
+    for own in (0, 1, 17, above, above + 5, 299, 300, 1000):
+        found = lm.most_frequent(counts, own)
+        assert sorted(r.w for r in found.collect()) == sorted(order[:own])
+    assert "TakeOrdered" not in lm.most_frequent(counts, above)._jdf.queryExecution().toString()
+    assert lm.most_frequent(counts.limit(0), 5).count() == 0
+
+
 def test_scores_do_not_depend_on_partitions(spark, frame):
     df = frame([*EDGES, *["the cat sat on the mat", "a dog ran on a log", "the dog sat"] * 30])
     found = []
