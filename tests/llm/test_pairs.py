@@ -190,6 +190,37 @@ def test_sketches_take_few_bytes_and_generated_code(spark):
     drop_written(table)
 
 
+def test_sketches_and_bands_take_few_steps(spark):
+    """No regular expression cuts shingles, a line is encoded before its shingles are rows, and a band's rows are read once, without a join."""
+    sketches = lines.minima(spark.createDataFrame([("a line of words",), ("  another  line ",)], "line string").select(F.xxhash64("line").alias("h"), "line"))
+    plan = sketches._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and plan.index("Generate") < plan.index("Encode")
+    members = lines.together(spark.createDataFrame([(1, 5), (1, 7), (1, 6), (2, 5), (3, 8), (3, 8)], "band long, h long"))
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and len(re.findall("Exchange hash", plan)) == 1
+    assert sorted(tuple(r) for r in members.collect()) == [(1, h, 5, 7, 3) for h in (5, 6, 7)]
+
+
+def test_sketches_of_other_white_space(spark):
+    """Lines with tabs, and with spaces in a row, have a sketch that does not leave them with a few shingles."""
+    words = [f"w{k}x{k * k}" for k in range(60)]
+    texts = {" ".join(words): {0}, "\t".join(words): {0, 1}, "  " + "\t".join(words): {0, 1}, " " * 300 + "a": {0, 1}, "  ".join(words): {0}, "short": {1}, "x" * 96: {0, 1}}
+    got = lines.minima(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h long, line string")).groupBy("h").agg(F.collect_set("kind").alias("kinds")).collect()
+    assert {r.h: set(r.kinds) for r in got} == dict(enumerate(texts.values()))
+
+
+def test_places_of_any_ids(spark):
+    """Ids within a range that fits have places of 64 bits, others decimals; the least id, or none, has the line that stays."""
+    top = (1 << 63) - 1
+    for ids, kind, place in (([None, -3, 4], "bigint", "bigint"), ([-top - 1, 0, top], "bigint", "decimal(38,0)"), ([None, top - (1 << 31), top], "bigint", "bigint"), ([None, -top - 1, top], "bigint", "decimal(38,0)"), ([1, 2, 127], "tinyint", "bigint"), ([None, None, None], "int", "bigint")):
+        df = spark.createDataFrame([(i, "same line\nown line " + "abc"[k] * 9) for k, i in enumerate(ids)][::-1], f"doc_id {kind}, text string")
+        assert dict(lines.located(df, "doc_id", "text", lines.lowest(df, "doc_id")).dtypes)["place"] == place
+        got = {(r.doc_id, r.at) for r in lines.first_lines(df).collect()}
+        assert got == {(ids[0], 0), *((i, 1) for i in ids)}
+    df = spark.createDataFrame([("9", "same line"), ("10", "same line")], "doc_id string, text string")
+    assert [tuple(r) for r in lines.first_lines(df).collect()] == [("9", 0)]
+
+
 def test_lines_that_can_be_alike_are_not_ruled_out(spark):
     rng, rows = random.Random(3), []
     for k in range(400):
