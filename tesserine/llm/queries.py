@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, langid, lines, lm, packing, quality, secrets, urls
+from . import ann, bpe, divergence, hyperminhash, jaccard, langid, lines, lm, merkle, oracles, packing, quality, secrets, urls
 from .common import no_nulls_id, table
 
 
@@ -66,8 +66,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (no_nulls_id() % 3 == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of the documents; the proofs are tried on rows of which half have lost their line breaks."""
+    docs = table(spark, sf_dir, "documents")
+    claimed = F.when(no_nulls_id() % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaf = lambda text: merkle.leaf_of(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+    proven = merkle.manifest(docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), leaf(claimed).alias("claimed")), keep=("claimed",))
+    proof = F.sha2(merkle.siblings(F.col("path")), 256)
+    found = proven.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), merkle.fold(F.col("claimed"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_best_fit_packing, op4_quality_rules, op5_graph_neighbours, op6_byte_bpe, op7_pitman_yor, op8_url_filter, op9_ngram_jaccard, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_best_fit_packing, op4_quality_rules, op5_graph_neighbours, op6_byte_bpe, op7_pitman_yor, op8_url_filter, op9_ngram_jaccard, op10_language_id, op11_merkle_manifest, op12_hyper_minhash, op13_source_divergence)}
 
 
 def stop_list() -> str:
@@ -102,4 +121,10 @@ from v
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": QUALITY_SQL}
+    return {
+        "op4_quality_rules": QUALITY_SQL,
+        "op9_ngram_jaccard": oracles.classes(3, 90),
+        "op11_merkle_manifest": oracles.MERKLE,
+        "op12_hyper_minhash": oracles.classes(4, 80, ", min(root) = node as kept"),
+        "op13_source_divergence": oracles.DIVERGENCE,
+    }
