@@ -78,8 +78,8 @@ def branched(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_of = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
     value = F.col("value").cast("decimal(18,2)")
     head = text_of("srun -N=", 1 + F.col("user_id") % 32, " --ntasks-per-node=2 ", F.col("event_type"))
-    three = [text_of("req payload size is ", F.col("event_id") % 64, " Byte"), text_of("agg overhead is ", value, " us (total 1 s)"), text_of("Total MB to send is ", F.col("event_id"), " MB")]
-    two = [text_of("req payload size = ", F.col("event_id") % 64, " Byte"), text_of("Total MB to send is ", F.col("event_id"), " MB")]
+    three = [text_of("payload: ", F.col("event_id") % 64, " B in a batch"), text_of("spent ", value, " us on it"), text_of("volume: ", F.col("event_id"), " MB")]
+    two = [text_of("payload: ", F.col("event_id") % 64, " B alone"), text_of("volume: ", F.col("event_id"), " MB")]
     lines = F.when(F.col("event_id") % 2 == 0, F.array(head, F.lit("noise"), *three)).otherwise(F.array(head, F.lit("noise"), *two))
     return e.select(F.col("user_id").alias("file"), F.posexplode(lines).alias("p", "line"), "event_id").select("file", (8 * F.col("event_id") + F.col("p")).alias("at"), "line")
 
@@ -88,8 +88,8 @@ BRANCHES = logs.Node(
     [r"srun -N=(\d+) --ntasks-per-node=\d+ (.+)"],
     ["node_num", "task"],
     [
-        logs.Node([r"req payload size is (\d+) Byte", r".+ overhead is (.+) us \(total .+ s\)", r"Total MB to send is (\d+) MB"], ["payload", "overhead", "total"]),
-        logs.Node([r"req payload size = (\d+) Byte", r"Total MB to send is (\d+) MB"], ["payload", "total"]),
+        logs.Node([r"payload: (\d+) B in a batch", r"spent (.+) us on it", r"volume: (\d+) MB"], ["payload", "overhead", "total"]),
+        logs.Node([r"payload: (\d+) B alone", r"volume: (\d+) MB"], ["payload", "total"]),
     ],
 )
 
@@ -103,6 +103,16 @@ def q_log_graph(spark, sf_dir):
     return found.withColumns(whole | {"overhead": F.col("overhead").cast("double")})
 
 
+@query("""select 8*event_id + (case when event_id % 2 = 0 then 4 else 3 end) as at, (1+user_id%32)::bigint node_num, event_type task, (event_id % 64)::bigint payload,
+case when event_id % 2 = 0 then value::decimal(18,2)::double end overhead, event_id as total from events where user_id is not null""")
+def q_log_segments(spark, sf_dir):
+    """The records of all users as one log, read in segments of about 150 events."""
+    one = branched(spark, sf_dir).withColumn("file", F.lit("all"))
+    whole = {c: F.col(c).cast("long") for c in ("node_num", "payload", "total")}
+    found = logs.graph(one, BRANCHES, segment=1200).withColumns(whole | {"overhead": F.col("overhead").cast("double")})
+    return found.select("at", "node_num", "task", "payload", "overhead", "total")
+
+
 @query("""with e as (select user_id as file, event_id, event_id % 3 = 0 as broken, lag(event_id % 3 = 0) over (partition by user_id order by event_id) as after_broken from events where user_id is not null)
 select file, count(*) filter (not broken)::bigint as records, count(*) filter (after_broken)::bigint as faults from e group by file""")
 def q_log_faults(spark, sf_dir):

@@ -146,6 +146,15 @@ def q_fastq_scan(spark, sf_dir):
     return files.fastq(spark, path)
 
 
+@query(f"with {READS} select 'r'||doc_id::varchar||'/'||i::varchar as id, s as seq, repeat('@', length(s)) as qual from r, unnest([1, 2]) t(i)")
+def q_fastq_split(spark, sf_dir):
+    """Pairs of records whose qualities look like headers, from ranges of 32 kB."""
+    path = shared_path(spark, "pairs")
+    mates = reads(spark, sf_dir).select("doc_id", "s", F.explode(F.array(F.lit("1"), F.lit("2"))).alias("i"))
+    sinks.fastq(mates.select(F.concat(F.lit("r"), F.col("doc_id").cast("string"), F.lit("/"), "i").alias("id"), F.col("s").alias("seq"), F.repeat(F.lit("@"), F.length("s")).alias("qual")), path)
+    return files.fastq(spark, path, split=32 << 10, pairs=True)
+
+
 @query(f"with {COUNTS} select kmer, substr(kmer,1,1) b_ext, case when cnt % 2 = 0 then 'F' else substr(kmer,{K},1) end f_ext from c where cnt >= 2")
 def q_kmer_table_scan(spark, sf_dir):
     from tesserine.operators import kmers

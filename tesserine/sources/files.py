@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserine.sources import ranges
+
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, line): the lines of text files with their number in the file, from 0.
@@ -22,17 +24,14 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("own", own).join(base, ["file", "block"]).select("file", (F.col("base") + F.col("own")).alias("at"), "line")
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(id, seq, qual): four lines a record; lines are trimmed on the right, blanks in ids become _.
+def fastq(spark: SparkSession, path: str, split: int | None = None, pairs: bool = False) -> DataFrame:
+    """(id, seq, qual): four lines a record, read by byte ranges; lines are trimmed on the right, blanks in ids become _.
 
     A header without @, or a quality of another length than its sequence, is an
-    error; a line may have any length.
+    error; a line may have any length. With pairs, both mates of a pair are in
+    one task, the second one behind the first.
     """
-    rows = numbered(spark, path).select("file", F.expr("at div 4").alias("rec"), (F.col("at") % 4).alias("part"), F.rtrim("line").alias("line"))
-    line = lambda k: F.max(F.when(F.col("part") == k, F.col("line")))
-    recs = rows.groupBy("file", "rec").agg(line(0).alias("header"), line(1).alias("seq"), line(3).alias("qual")).filter("header <> '' or seq is not null")
-    recs = recs.withColumn("_ok", F.when(~F.col("header").startswith("@"), F.raise_error(F.concat(F.lit("not a FASTQ header: "), "header"))).when(~F.length("seq").eqNullSafe(F.length("qual")), F.raise_error(F.concat(F.lit("quality and sequence differ in length: "), "header"))))
-    return recs.filter(F.col("_ok").isNull()).select(F.translate(F.substr("header", F.lit(2)), " ", "_").alias("id"), "seq", "qual")
+    return ranges.read(spark, ranges.Fastq, path, split, pairs=pairs)
 
 
 def read_ids(df: DataFrame, column: str = "id") -> DataFrame:
@@ -52,7 +51,8 @@ def kmer_table(spark: SparkSession, path: str, k: int) -> DataFrame:
 
 
 def line_count(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).agg(F.count("*").alias("lines"))
+    """One row: the lines that a newline ends."""
+    return ranges.read(spark, ranges.Lines, path).agg(F.count_if("ended").alias("lines"))
 
 
 def _market_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -127,10 +127,15 @@ def matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, line) of all log files that a pattern matches."""
+    """(file, at, line) of all log files that a pattern matches, by number of the line."""
     return numbered(spark, path)
 
 
+def line_offsets(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
+    """(file, at, line) of text files by offset of the line, in one pass and without an exchange."""
+    return ranges.read(spark, ranges.Lines, path, split).select("file", "at", "line")
+
+
 def csv_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
 

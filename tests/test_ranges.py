@@ -1,0 +1,156 @@
+"""Files by byte ranges, and logs by segments: the same rows wherever they are cut."""
+
+import gzip
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tesserine.operators import logs
+from tesserine.plans.logs import BRANCHES
+from tesserine.sources import files, ranges
+
+
+def pairs(rng, n):
+    """Mates whose qualities often begin like a header or like the line before them."""
+    rows = []
+    for i in range(n):
+        for mate in (1, 2):
+            size = rng.randrange(40)
+            rows.append((f"r{i}/{mate}", "".join(rng.choices("ACGTN", k=size)), "".join(rng.choices("@+I!", k=size))))
+    return rows
+
+
+@pytest.mark.parametrize("split", [3, 50, 133, 1000, 1 << 30])
+def test_records_of_every_cut(tmp_path, split):
+    rows = pairs(random.Random(split), 400)
+    path = tmp_path / "a.fastq"
+    path.write_text("".join(f"@{a}\n{b}\n+\n{c}\n" for a, b, c in rows))
+    cut = ranges.cut(str(path), split)
+    got = [list(ranges.records_from(r)) for r in cut]
+    assert [tuple(x.decode() for x in r) for part in got for r in part] == rows
+    mates = [list(ranges.records_from(r, pairs=True)) for r in cut]
+    assert [r for part in mates for r in part] == [r for part in got for r in part]
+    assert all(len(part) % 2 == 0 for part in mates)
+    lines = [(at, line) for r in cut for at, line, _ in ranges.lines_from(r) if at < r.end]
+    data = path.read_bytes()
+    assert b"".join(line + b"\n" for _, line in lines) == data and all(data[at:].startswith(line) for at, line in lines)
+
+
+def test_one_file_many_tasks(spark, tmp_path):
+    rows = pairs(random.Random(1), 2000)
+    path = tmp_path / "reads.fastq"
+    path.write_text("".join(f"@{a} x\n{b} \n+{a}\n{c}\n" for a, b, c in rows) + "\n\n")
+    df = files.fastq(spark, f"file://{path}", split=10_000, pairs=True)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.rdd.getNumPartitions() >= 4 and "Window" not in plan and "Exchange" not in plan
+    assert sorted(map(tuple, df.collect())) == sorted((f"{a}_x", b, c) for a, b, c in rows)
+    with gzip.open(tmp_path / "reads.fastq.gz", "wt") as f:
+        f.write("".join(f"@{a}\n{b}\n+\n{c}\n" for a, b, c in rows[:50]))
+    assert sorted(map(tuple, files.fastq(spark, str(tmp_path / "*.gz"), split=100).collect())) == sorted(rows[:50])
+
+
+def test_bad_records_are_never_skipped(tmp_path):
+    """A bad record at a border is an error of the range before it, or of its own."""
+    good = [f"@r{i}/1\nACGT\n+\nIIII\n" for i in range(20)]
+    for bad in ("r9/1\nACGT\n+\nIIII\n", "@r9/1\nACGT\n+\nIII\n", "@r9/1\nACGT\nIIII\n"):
+        path = tmp_path / "bad.fastq"
+        path.write_text("".join(good[:9]) + bad + "".join(good[10:]))
+        for split in range(5, 60):
+            with pytest.raises(ValueError, match=r"not a FASTQ header|quality and sequence differ"):
+                for r in ranges.cut(str(path), split):
+                    list(ranges.records_from(r))
+
+
+def test_line_counts(spark, tmp_path):
+    (tmp_path / "a").write_text("x\ny\n")
+    (tmp_path / "b").write_text("z\nunfinished")
+    (tmp_path / "c").write_text("")
+    assert files.line_count(spark, str(tmp_path)).first()[0] == 3
+    got = sorted((r.file[-1], r.at, r.line) for r in files.line_offsets(spark, str(tmp_path), split=3).collect())
+    assert got == [("a", 0, "x"), ("a", 2, "y"), ("b", 0, "z"), ("b", 2, "unfinished")]
+    with pytest.raises(Exception, match="missing"):
+        files.line_count(spark, str(tmp_path / "missing")).collect()
+
+
+DEEP = logs.Node(["A (.)", "B (.) (.)"], ["a", "b", "c"], [logs.Node(["C (.)"], ["d"], [logs.Node(["D (.)", "E"], ["e"]), logs.Node(["F (.)"], ["a"])]), logs.Node(["G", "H (.)?"], ["g"])])
+JOBS = ["srun -N={} --ntasks-per-node=2 t{}", "payload: {} B in a batch", "spent {} us on it", "volume: {} MB", "payload: {} B alone", "noise"]
+
+
+def job_lines(rng, n):
+    return [x.format(rng.randrange(9), rng.randrange(9)) for x in rng.choices(JOBS, k=n)]
+
+
+def deep_lines(rng, n):
+    return [f"{rng.choice('ABCDEFGH')} {rng.randrange(9)} {rng.randrange(9)}" if rng.random() < 0.9 else "E" for _ in range(n)]
+
+
+MACHINES = [(lambda: logs.Graph(BRANCHES), job_lines), (lambda: logs.Graph(DEEP), deep_lines), (lambda: logs.Line(["A (.)", "B (.)", "C (.)"], ["a", "b", "c"]), deep_lines)]
+
+
+@pytest.mark.parametrize("kind", range(3))
+def test_segments_agree_with_one_run(kind):
+    make, lines_of = MACHINES[kind]
+    rng = random.Random(kind)
+    for _ in range(300):
+        lines = lines_of(rng, rng.randrange(1, 70))
+        machine = make()
+        want = [(at, got) for at, line in enumerate(lines) for got in machine.feed(line)]
+        for size in (1, 4, 13):
+            state, data, got = 0, [], []
+            for a in range(0, len(lines), size):
+                segment = logs.Segment(make)
+                rows = [(at, *row) for at in range(a, min(a + size, len(lines))) for row in segment.feed(lines[at])]
+                fill = lambda v, data=data: data[v] if isinstance(v, int) else v
+                got += [(at, {k: fill(v) for k, v in row.items()}) for at, entries, row in rows if state in entries]
+                exits = {entry: (s, d) for entry, s, d in segment.exits()}
+                assert set(exits) == set(segment.every)
+                state, data = exits[state][0], [fill(v) for v in exits[state][1]]
+            assert got == want
+
+
+def test_runs_become_one():
+    segment = logs.Segment(lambda: logs.Graph(BRANCHES))
+    assert len(segment.runs) == 7
+    for line in (JOBS[0].format(1, 2), JOBS[0].format(3, 4)):
+        list(segment.feed(line))
+    assert len(segment.runs) == 1
+
+
+def test_one_log_many_tasks(spark, tmp_path):
+    lines = job_lines(random.Random(7), 6000)
+    (tmp_path / "one.log").write_text("".join(x + "\n" for x in lines))
+    offsets, at = [], 0
+    for x in lines:
+        offsets.append(at)
+        at += len(x) + 1
+    read = files.line_offsets(spark, str(tmp_path / "one.log"), split=20_000)
+    assert read.rdd.getNumPartitions() >= 4
+    machine = logs.Graph(BRANCHES)
+    labels = BRANCHES.every_label()
+    want = sorted(str((offsets[k], *(got.get(x) for x in labels))) for k, line in enumerate(lines) for got in machine.feed(line))
+    found = logs.graph(read, BRANCHES, segment=20_000)
+    assert sorted(str(tuple(r)[1:]) for r in found.collect()) == want and want
+
+
+@pytest.mark.parametrize("segment", [1, 3, 100_000])
+def test_parsed_and_faults_by_segments(spark, segment):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice(["srun -N=1 --ntasks-per-node=2 t", f"srun -N={i} --ntasks-per-node=2 u", f"total time {i} s", "noise", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "file string, at long, line string")
+    want, faults = [], 0
+    for file in ("a", "b", None):
+        head, last = None, False
+        for _, at, line in (r for r in rows if r[0] == file):
+            now = (line or "").startswith("srun")
+            faults += now and last
+            if now:
+                head = line.split("=")[1].split(" ")[0]
+            elif (line or "").startswith("total") and head:
+                want.append((str(file), at, int(head), line.split()[2]))
+                head = None
+            last = now
+    got = logs.parsed(df, segment).select("file", "at", "node_num", "value").collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
+    assert logs.faults(df, segment).first()[0] == faults
+    assert logs.faults(df.filter(F.lit(False)), segment).first()[0] == 0
