@@ -72,6 +72,64 @@ def unpacked_words(numbers: Column, k: int) -> Column:
     return F.concat(*(unpacked(F.get(numbers, F.lit(a // 32)), min(32, k - a)) for a in range(0, k, 32)))
 
 
+#: Masks that swap neighbours of 2, 4, 8 and 16 bits.
+SWAPS = [(2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)]
+
+
+def _mirrored(word: Column) -> Column:
+    """The 32 bases of a word in reverse and complemented."""
+    for n, mask in SWAPS:
+        keep = F.lit(mask).cast("long")
+        word = F.shiftrightunsigned(word, n).bitwiseAND(keep).bitwiseOR(F.shiftleft(word.bitwiseAND(keep), n))
+    return F.bitwise_not(F.shiftrightunsigned(word, 32).bitwiseOR(F.shiftleft(word, 32)))
+
+
+def key_words(k: int) -> int:
+    """Words of 64 bits of a key of k bases."""
+    if not 1 <= k <= 64:
+        raise ValueError("a key holds 1 to 64 bases")
+    return 1 if k <= 32 else 2
+
+
+def revcomp_key(words: list[Column], k: int) -> list[Column]:
+    """Reverse complement of a key: bases of two bits, the last one lowest, in one word, or the first k - 32 in a word before."""
+    if key_words(k) == 1:
+        return [F.shiftrightunsigned(_mirrored(words[0]), 64 - 2 * k)]
+    first, last = _mirrored(words[1]), _mirrored(words[0])
+    gap = 128 - 2 * k
+    if not gap:
+        return [first, last]
+    return [F.shiftrightunsigned(first, gap), F.shiftleft(first, 64 - gap).bitwiseOR(F.shiftrightunsigned(last, gap))]
+
+
+def less_key(a: list[Column], b: list[Column]) -> Column:
+    """Whether key a stands before key b: unsigned order, which is that of the bases."""
+    turned = lambda x: x.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    out = turned(a[-1]) < turned(b[-1])
+    for x, y in zip(reversed(a[:-1]), reversed(b[:-1]), strict=True):
+        out = (turned(x) < turned(y)) | ((x == y) & out)
+    return out
+
+
+def canonical_key(words: list[Column], k: int) -> list[Column]:
+    """The lesser of a key and its reverse complement."""
+    other = revcomp_key(words, k)
+    first = less_key(words, other)
+    return [F.when(first, a).otherwise(b) for a, b in zip(words, other, strict=True)]
+
+
+def key_of(kmer: Column, k: int) -> list[Column]:
+    """The key of a k-mer."""
+    word = lambda s: F.conv(F.translate(s, "ACGT", "0123"), 4, -10).cast("long")
+    return [word(kmer)] if key_words(k) == 1 else [word(F.substring(kmer, 1, k - 32)), word(F.substring(kmer, k - 31, 32))]
+
+
+def kmer_of(words: list[Column], k: int) -> Column:
+    """The bases of a key."""
+    text = lambda x, n: F.translate(F.lpad(F.conv(x.cast("string"), 10, 4), n, "0"), "0123", "ACGT")
+    return text(words[0], k) if key_words(k) == 1 else F.concat(text(words[0], k - 32), text(words[1], 32))
+
+
 def djb2(s: Column, modulus: int = 2147483647) -> Column:
     """h = byte + 33 h from 5381, modulo a prime so that it stays exact."""
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(F.substring(s, i, F.lit(1))).cast("long")), F.lit(5381).cast("long"), lambda h, b: (b + 33 * h) % modulus)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.operators import order
+
 
 def counted(df: DataFrame, value: Column, name: str = "v") -> DataFrame:
     """(v, n)."""
@@ -28,8 +30,8 @@ def sorted_counts(df: DataFrame, value: Column) -> DataFrame:
 
 
 def sorted_rows(df: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:
-    """Rows in total order: ranges of keys, each sorted in its partition."""
-    return (df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)).sortWithinPartitions(*columns)
+    """Rows with their place in total order: ranges of keys, each sorted in its partition, and places counted over the ranges."""
+    return order.positioned(df, *columns, partitions=partitions)
 
 
 def per_range(df: DataFrame, key: Column, width: int) -> DataFrame:

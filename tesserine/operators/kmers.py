@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.functions.bases import K, revcomp, windows
+from tesserine.functions.bases import SWAPS, K, key_words, kmer_of, revcomp, windows
 
 
 def exploded(reads: DataFrame, k: int = K, trim: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -32,6 +36,91 @@ def _canonical(reads: DataFrame, k: int, trim: int = 1, keep: tuple[str, ...] =
     return rows.select(*keep, F.least(F.substring("b", F.col("i"), F.lit(k)), F.substring("r", F.col("n") - F.col("i") - k + 2, F.lit(k))).alias("kmer"))
 
 
+#: Windows that a task packs and counts at once.
+WINDOWS = 1 << 20
+
+
+def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
+    """Two bits a base of all windows of k codes, 32 at most, by doubling."""
+    out, width, block, size = None, 0, codes, 1
+    while True:
+        if k & size:
+            # what is there stands before the next block
+            out = block if out is None else (out[: len(out) - size] << np.uint64(2 * size)) | block[width:]
+            width += size
+        size *= 2
+        if size > k:
+            return out
+        half = size // 2
+        block = (block[:-half] << np.uint64(2 * half)) | block[half:]
+
+
+def _mirrored(words: np.ndarray) -> np.ndarray:
+    for n, mask in SWAPS:
+        words = ((words >> np.uint64(n)) & np.uint64(mask)) | ((words & np.uint64(mask)) << np.uint64(n))
+    return ~((words >> np.uint64(32)) | (words << np.uint64(32)))
+
+
+def packed_windows(codes: np.ndarray, k: int) -> list[np.ndarray]:
+    """The keys of all windows of k codes in their canonical form, a word or two."""
+    if len(codes) < k:
+        return [np.zeros(0, np.uint64)] * key_words(k)
+    if k <= 32:
+        own = _rolled(codes, k)
+        return [np.minimum(own, _mirrored(own) >> np.uint64(64 - 2 * k))]
+    n = len(codes) - k + 1
+    first, last = _rolled(codes, k - 32)[:n], _rolled(codes, 32)[k - 32 :]
+    high, low, gap = _mirrored(last), _mirrored(first), np.uint64(128 - 2 * k)
+    if gap:
+        high, low = high >> gap, (high << (np.uint64(64) - gap)) | (low >> gap)
+    own = (first < high) | ((first == high) & (last < low))
+    return [np.where(own, first, high), np.where(own, last, low)]
+
+
+def packed_counts(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
+    """(w0, cnt) or (w0, w1, cnt): counts of canonical windows with keys of one or two longs (see kmer_of).
+
+    Windows are packed and counted in the scan's tasks, some at a time, so keys
+    of a word or two and their counts are all that is shuffled.
+    """
+    names = [f"w{i}" for i in range(key_words(k))]
+    code = np.zeros(256, np.uint64)
+    code[[ord(c) for c in "ACGT"]] = range(4)
+
+    def counted(words: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.lexsort(words[::-1]) if len(words) > 1 else np.argsort(words[0])
+        words = [w[order] for w in words]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
+        at = np.flatnonzero(new)
+        return pa.RecordBatch.from_arrays([*(pa.array(w[at].view(np.int64)) for w in words), pa.array(np.diff(at, append=len(order)))], [*names, "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for b in batches:
+            for s in b.column(0):
+                bases = np.frombuffer(s.as_buffer(), np.uint8)
+                # a long read goes by parts that overlap by k - 1 bases
+                for a in range(trim, len(bases) - k - trim + 1, WINDOWS):
+                    part = bases[a : min(a + WINDOWS + k - 1, len(bases) - trim)]
+                    held.append(packed_windows(code[part], k))
+                    many += len(held[-1][0])
+                    if many >= WINDOWS:
+                        yield counted([np.concatenate(w) for w in zip(*held, strict=True)])
+                        held, many = [], 0
+        if many:
+            yield counted([np.concatenate(w) for w in zip(*held, strict=True)])
+
+    rows = reads.filter(F.length("s") >= k + 2 * trim).select("s")
+    found = rows.mapInArrow(run, ", ".join([*(f"{n} bigint" for n in names), "n bigint"]))
+    return found.groupBy(*names).agg(F.sum("n").alias("cnt"))
+
+
+def unpacked_counts(counts: DataFrame, k: int) -> DataFrame:
+    """(kmer, cnt) of packed counts."""
+    return counts.select(kmer_of([F.col(f"w{i}") for i in range(key_words(k))], k).alias("kmer"), "cnt")
+
+
 def _as_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("kmer", F.col("kmer").cast("string"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.operators import order
+
 
 def product(matrix: DataFrame, vector: DataFrame, steps: int = 1) -> DataFrame:
     """(row, y): after `steps` accumulations of A x with the vector left as it is, steps times A x. Decimal sums, so order does not matter."""
@@ -58,12 +60,5 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def row_pointers(matrix: DataFrame) -> DataFrame:
-    """(row, length, start): the CSR row lengths, and their prefix sums within blocks of rows plus the blocks' own."""
-    from pyspark.sql import Window
-
-    block = 1 << 16
-    lengths = matrix.groupBy("row").agg(F.count("*").alias("length")).withColumn("block", F.expr(f"row div {block}"))
-    sums = lengths.groupBy("block").agg(F.sum("length").alias("s"))
-    before = sums.withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    own = F.coalesce(F.sum("length").over(Window.partitionBy("block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lengths.withColumn("own", own).join(before, "block").select("row", "length", (F.col("own") + F.col("base")).alias("start"))
+    """(row, length, start): the CSR row lengths and their prefix sums, by ranges of rows."""
+    return order.running(matrix.groupBy("row").agg(F.count("*").alias("length")), "length", "row")

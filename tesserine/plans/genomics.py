@@ -34,6 +34,35 @@ def q_kmer_count_sorted(spark, sf_dir):
     return kmers.repeated(reads(spark, sf_dir)).orderBy("kmer")
 
 
+def packed_counts_sql(k: int) -> str:
+    return f"select {k} as k, least(km, reverse(translate(km,'ACGT','TGCA'))) as kmer, count(*)::bigint as cnt from (select unnest(list_transform(range(2, length(s)-{k}+1), lambda i: substr(s,i::int,{k}))) as km from r where length(s) >= {k + 2}) group by 1, 2 having count(*) >= 2"
+
+
+@query(f"with {READS} " + " union all ".join(map(packed_counts_sql, (13, 31, 51))))
+def q_kmer_packed(spark, sf_dir):
+    """Counts of at least 2 for three widths, with keys of one and two longs."""
+    out = None
+    for k in (13, 31, 51):
+        own = kmers.unpacked_counts(kmers.packed_counts(reads(spark, sf_dir), k).filter("cnt >= 2"), k).select(F.lit(k).alias("k"), "kmer", "cnt")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def packed_canonical_sql(k: int) -> str:
+    return f"select {k} as k, doc_id, least(km, reverse(translate(km,'ACGT','TGCA'))) as canonical from (select doc_id, substr(s, 1, {k}) as km from r where length(s) >= {k})"
+
+
+@query(f"with {READS} " + " union all ".join(map(packed_canonical_sql, (13, 31, 51))))
+def q_kmer_key_canonical(spark, sf_dir):
+    """The canonical form of each read's first k-mer, by shifts and masks of its key."""
+    out = None
+    for k in (13, 31, 51):
+        words = bases.canonical_key(bases.key_of(F.substring("s", 1, k), k), k)
+        own = reads(spark, sf_dir).filter(F.length("s") >= k).select(F.lit(k).alias("k"), "doc_id", bases.kmer_of(words, k).alias("canonical"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query(f"with {READS}, w as (select doc_id, unnest(list_transform(range(1, length(s)-{K}+2), lambda i: substr(s,i::int,{K}))) km from r where length(s) >= {K}) select doc_id, count(*)::bigint n, min(km) first_kmer, max(km) last_kmer from w group by doc_id")
 def q_kmer_explode(spark, sf_dir):
     w = bases.windows(F.col("s"))

@@ -80,3 +80,12 @@ def q_mtx_scan(spark, sf_dir):
     m, n = a.agg(F.max("row") + 1, F.max("col") + 1).first()
     sinks.matrix_market(a, path, m or 0, n or 0)
     return files.matrix(spark, path)
+
+
+@query("select l_orderkey as row, l_partkey as col, l_quantity as val from lineitem")
+def q_csr_scan(spark, sf_dir):
+    """The matrix written as parts of one binary file and read by ranges of its entries."""
+    path, a = shared_path(spark, "matrix") + ".binary", coo(spark, sf_dir)
+    m, n = a.agg(F.max("row") + 1, F.max("col") + 1).first()
+    sinks.binary_csr(a, path, m or 0, n or 0, part=20_000)
+    return files.binary_csr(spark, path, entries=15_000)

@@ -59,6 +59,13 @@ def q_counting_sort(spark, sf_dir):
     return histograms.sorted_counts(table(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("long"))
 
 
+@query("select l_quantity, l_orderkey, l_linenumber, l_partkey, row_number() over (order by l_quantity, l_orderkey, l_linenumber, l_partkey) - 1 as position from lineitem")
+def q_sort_position(spark, sf_dir):
+    """Each row's place in the order of quantities; ties go by order, line and part."""
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_orderkey", "l_linenumber", "l_partkey")
+    return histograms.sorted_rows(rows, "l_quantity", "l_orderkey", "l_linenumber", "l_partkey")
+
+
 @query("select l_orderkey // 1000 as part, count(*)::bigint n from lineitem group by 1")
 def q_range_partition(spark, sf_dir):
     return histograms.per_range(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), 1000)

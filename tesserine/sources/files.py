@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserine.sources import ranges
+from tesserine.sources import binary, ranges
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -76,45 +74,22 @@ def matrix_sizes(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return tuple(int(x) for x in _market_lines(spark, path)[1].first()["line"].split()[:3])
 
 
-def _binary(spark: SparkSession, path: str, decode) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0):
-                rows, cols, vals = decode(data.as_buffer())
-                for k in range(0, len(vals), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (rows.astype(np.int64), cols.astype(np.int64), vals.astype(np.float64))], ["row", "col", "val"])
+def binary_csr(spark: SparkSession, path: str, entries: int = binary.ENTRIES) -> DataFrame:
+    """(row, col, val) of binary CSR, a file or a folder of parts: u64 m, n, nnz; f64 values; u64 column indices; u64 row pointers. A task reads `entries` at most."""
+    return binary.read(spark, binary.Csr, path, entries=entries)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row bigint, col bigint, val double")
 
+def petsc(spark: SparkSession, path: str, entries: int = binary.ENTRIES) -> DataFrame:
+    """(row, col, val) of PETSc files of either byte order: i32 code, rows, cols, nnz; i32 row lengths; i32 columns; f64 values.
 
-def binary_csr(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, val) of binary CSR files: u64 m, n, nnz; f64 values; u64 column indices; u64 row pointers."""
-
-    def decode(data):
-        m, _, nnz = (int(x) for x in np.frombuffer(data, "<u8", 3))
-        vals = np.frombuffer(data, "<f8", nnz, 24)
-        cols, ptr = np.frombuffer(data, "<u8", nnz, 24 + 8 * nnz), np.frombuffer(data, "<u8", m + 1, 24 + 16 * nnz)
-        return np.repeat(np.arange(m), np.diff(ptr.astype(np.int64))), cols, vals
-
-    return _binary(spark, path, decode)
-
-
-#: First number of a PETSc matrix file (fixed value).
-PETSC = 1211216
-
-
-def petsc(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, val) of PETSc files of either byte order: i32 code, rows, cols, nnz; i32 row lengths; i32 columns; f64 values."""
-
-    def decode(data):
-        order = "<" if np.frombuffer(data, "<i4", 1)[0] == PETSC else ">"
-        code, m, _, nnz = (int(x) for x in np.frombuffer(data, order + "i4", 4))
-        if code != PETSC:
-            raise ValueError("not a PETSc matrix")
-        lengths = np.frombuffer(data, order + "i4", m, 16)
-        return np.repeat(np.arange(m), lengths), np.frombuffer(data, order + "i4", nnz, 16 + 4 * m), np.frombuffer(data, order + "f8", nnz, 16 + 4 * m + 4 * nnz)
-
-    return _binary(spark, path, decode)
+    The format has lengths of rows only, so a first pass adds them up by chunks of rows; a chunk's start is an option of the second one.
+    """
+    sums = binary.read(spark, binary.PetscLengths, path).collect()  # a row for each CHUNK rows
+    starts: dict[str, list[int]] = {}
+    for r in sorted(sums, key=lambda r: (r.path, r.chunk)):
+        own = starts.setdefault(r.path, [0])
+        own.append(own[-1] + r.total)
+    return binary.read(spark, binary.Petsc, path, entries=entries, starts=json.dumps(starts))
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.sources import binary
+
 
 def kmer_dump(counts: DataFrame, path: str) -> None:
     """Lines `KMER COUNT`, gzip, a part for each task."""
@@ -40,15 +41,9 @@ def matrix_market(matrix: DataFrame, path: str, m: int, n: int) -> None:
     body.write.mode("append").text(path)
 
 
-def binary_csr(matrix: DataFrame, path: str, m: int, n: int, most: int = 50_000_000) -> None:
-    """One local file, from the driver, as the format has one file without parts; a matrix of more than `most` entries is refused."""
-    nnz = matrix.count()
-    if nnz > most:
-        raise ValueError(f"{nnz} entries do not go into one file; write Matrix Market parts instead")
-    rows = matrix.orderBy("row", "col").toPandas()
-    ptr = np.concatenate(([0], np.cumsum(np.bincount(rows["row"], minlength=m)))).astype("<u8")
-    with open(path, "wb") as f:
-        f.write(np.array([m, n, len(rows)], "<u8").tobytes() + rows["val"].to_numpy("<f8").tobytes() + rows["col"].to_numpy("<u8").tobytes() + ptr.tobytes())
+def binary_csr(matrix: DataFrame, path: str, m: int, n: int, part: int = binary.PART) -> None:
+    """Parts of one binary CSR file, each named by the offset of its first byte, of up to `part` entries or rows."""
+    binary.write_csr(matrix, path, m, n, part)
 
 
 def log_csv(rows: DataFrame, path: str, *order: str) -> None:
