@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import bases, text
 from tesserine.operators import chains, histograms, kmers, logs, matrices, reductions, sketches, tables
-from tesserine.sources import files, sinks
+from tesserine.sources import binary, files, sinks
 
 K = 5
 
@@ -102,7 +102,7 @@ def test_matrix_files(spark, tmp_path):
     sinks.binary_csr(m, str(tmp_path / "b.binary"), 3, 3)
     assert sorted(map(tuple, files.matrix(spark, str(tmp_path / "b.binary")).collect())) == expected
     for order in "<>":
-        data = np.array([files.PETSC, 3, 3, 3, 1, 0, 2, 1, 0, 2], order + "i4").tobytes() + np.array([2.5, -1, 4], order + "f8").tobytes()
+        data = np.array([binary.PETSC, 3, 3, 3, 1, 0, 2, 1, 0, 2], order + "i4").tobytes() + np.array([2.5, -1, 4], order + "f8").tobytes()
         path = tmp_path / f"c{ord(order)}.pm"
         path.write_bytes(data)
         assert sorted(map(tuple, files.matrix(spark, str(path)).collect())) == expected

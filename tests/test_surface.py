@@ -29,8 +29,6 @@ def test_writers(spark, tmp_path):
     assert sorted(map(tuple, files.csv_table(spark, str(tmp_path / "csv")).collect())) == [("a", 1), ("b", 2)]
     sinks.json_state(logged, str(tmp_path / "json"))
     assert sorted((r.task, r.node_num) for r in files.json_state(spark, str(tmp_path / "json")).collect()) == [("a", 1), ("b", 2)]
-    with pytest.raises(ValueError, match="do not go into one file"):
-        sinks.binary_csr(spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "row long, col long, val double"), str(tmp_path / "b"), 2, 2, most=1)
 
 
 def test_readers(spark, tmp_path):
