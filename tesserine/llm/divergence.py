@@ -9,7 +9,7 @@ terms and V the language's number of them.
 1. A task counts its documents' terms and passes runs on: (language, term,
    source, first document of the run, documents, occurrences).
 2. Runs are dealt out by (language, term) and sorted by (language, term, source,
-   document).  One scan adds up run lengths; what it holds of a term is the
+   document), behind a hash of the first two.  One scan adds up run lengths; what it holds of a term is the
    sources of less than `least` documents, then the term is kept and its sources
    pass through as they come, so a term of any number of sources needs no more.
 3. Shares go to tiles of `tile` sources by `tile` and to parts of the terms,
@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 GATHER = 400_000
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def runs(batches: Iterator[pa.RecordBatch], gather: int = GATHER) -> Iterator[pa.RecordBatch]:
     """Rows (doc, lang, source, text) to (lang, term, source, doc, docs, n)."""
     docs, n, first = defaultdict(Counter), defaultdict(Counter), {}
     names = ["lang", "term", "source", "doc", "docs", "n"]
@@ -59,11 +60,9 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(terms), 20_000):
                 part = terms[k : k + 20_000]
                 m = len(part)
-                columns = [[lang] * m, part, [source] * m, [first[lang, source]] * m, [own[t] for t in part], [counts[t] for t in part]]
-                kinds = [pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-                arrays[1] = arrays[1].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                numbers = [pa.array(np.fromiter(map(c.__getitem__, part), np.int64, m)) for c in (own, counts)]
+                words = [pa.repeat(pa.scalar(lang, pa.string()), m), pa.array(part, pa.binary()).cast(pa.string()), pa.repeat(pa.scalar(source, pa.string()), m)]
+                yield pa.RecordBatch.from_arrays([*words, pa.repeat(pa.scalar(first[lang, source], pa.int64()), m), *numbers], names)
         docs.clear(), n.clear(), first.clear()
 
     for b in batches:
@@ -73,50 +72,63 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n[own].update(found)
             docs[own].update(set(found))
             first.setdefault(own, doc)
-        if sum(map(len, n.values())) > GATHER:
+        if sum(map(len, n.values())) > gather:
             yield from passed_on()
     yield from passed_on()
 
 
-def kept_terms(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (lang, term, source, docs, n) to (lang, term, source, n) of the terms kept, and their sum over all sources with a null source."""
-    out: list[tuple] = []
-    term, held, source = None, [], None
-    docs = total = own = 0
+class Scan:
+    """Run lengths of sorted rows (lang, term, source, docs, n): the sources' sums of the terms kept, and each such term's sum over all sources with a null source.
 
-    def source_done() -> None:
-        if source is not None:
-            (out if docs >= least else held).append((*term, source, own))
+    What stays between batches is of the last term: its sources' sums while it
+    has less than `least` documents, its last source's sum from then on.
+    """
 
-    def term_done() -> None:
-        if term is not None and docs >= least:
-            out.append((*term, None, total))
+    def __init__(self, least: int) -> None:
+        self.least = least
+        self.held: pa.RecordBatch | None = None
+        self.docs = self.total = 0  # of the last term's rows that are no longer held
+
+    def feed(self, b: pa.RecordBatch, last: bool = False) -> pa.RecordBatch:
+        if self.held is not None:
+            b = pa.concat_batches([self.held, b])
+        n = b.num_rows
+        words = [b.column(i) for i in range(3)]
+        differ = [pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in words]
+        term, source = np.ones(n, bool), np.ones(n, bool)
+        term[1:] = differ[0] | differ[1]
+        source[1:] = term[1:] | differ[2]
+        terms, sources = np.flatnonzero(term), np.flatnonzero(source)
+        docs, count = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        of = np.searchsorted(terms, sources, "right") - 1
+        source_docs, source_count = np.add.reduceat(docs, sources), np.add.reduceat(count, sources)
+        term_docs, term_count = np.add.reduceat(docs, terms), np.add.reduceat(count, terms)
+        term_docs[0] += self.docs
+        term_count[0] += self.total
+        kept = term_docs >= self.least
+        whole, passing = kept.copy(), kept[of]
+        self.held, self.docs, self.total = None, 0, 0
+        if not last:  # the last term may go on
+            whole[-1] = False
+            stays = np.flatnonzero(of == of[-1])[-1:] if kept[-1] else np.flatnonzero(of == of[-1])
+            passing[stays] = False
+            at = pa.array(sources[stays])
+            self.held = pa.RecordBatch.from_arrays([*(c.take(at) for c in words), pa.array(source_docs[stays]), pa.array(source_count[stays])], b.schema.names)
+            self.docs, self.total = int(term_docs[-1] - source_docs[stays].sum()), int(term_count[-1] - source_count[stays].sum())
+        own, every = pa.array(sources[passing]), pa.array(terms[whole])
+        columns = [pa.concat_arrays([words[i].take(own), words[i].take(every)]) for i in range(2)]
+        columns.append(pa.concat_arrays([words[2].take(own), pa.nulls(len(every), words[2].type)]))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([source_count[passing], term_count[whole]]))], ["lang", "term", "source", "n"])
 
-    def batch() -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["lang", "term", "source", "n"])
 
+def kept_terms(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (lang, term, source, docs, n) to (lang, term, source, n), see Scan."""
+    scan = Scan(least)
     for b in batches:
-        for lang, word, src, m, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if term != (lang, word):
-                source_done()
-                term_done()
-                term, held, source = (lang, word), [], None
-                docs = total = 0
-            if src != source:
-                source_done()
-                source, own = src, 0
-            docs, total, own = docs + m, total + n, own + n
-            if held and docs >= least:
-                out += held
-                held = []
-        if len(out) >= 20_000:
-            yield batch()
-            out = []
-    source_done()
-    term_done()
-    if out:
-        yield batch()
+        if b.num_rows:
+            yield scan.feed(b)
+    if scan.held is not None:
+        yield scan.feed(scan.held.slice(0, 0), last=True)
 
 
 def share(n: Column, whole: Column) -> Column:
@@ -196,14 +208,15 @@ def compared(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.Record
         yield batch()
 
 
-def audit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least: int = 30, top: int = 50, tile: int = 512) -> DataFrame:
+def audit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least: int = 30, top: int = 50, tile: int = 512, gather: int = GATHER) -> DataFrame:
     """(lang, source, part, item, value, rank): pairs of sources of a language, and the `top` terms in which a source exceeds its language."""
     spark = df.sparkSession
     deal = partitions(spark)
     word = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc"), word(lang).alias("lang"), word(source).alias("source"), word(text).alias("text"))
-    counted = docs.mapInArrow(runs, "lang string, term string, source string, doc bigint, docs bigint, n bigint")
-    ordered = counted.repartition(deal, "lang", "term").sortWithinPartitions("lang", "term", "source", "doc").select("lang", "term", "source", "docs", "n")
+    counted = docs.mapInArrow(lambda batches: runs(batches, gather), "lang string, term string, source string, doc bigint, docs bigint, n bigint")
+    # a hash stands before the other keys, which sort by comparing it alone as long as terms differ
+    ordered = counted.withColumn("h", F.xxhash64("lang", "term")).repartition(deal, "lang", "term").sortWithinPartitions("h", "lang", "term", "source", "doc").select("lang", "term", "source", "docs", "n")
     kept = written(ordered.mapInArrow(lambda batches: kept_terms(batches, least), "lang string, term string, source string, n bigint"), "terms")
 
     langs = kept.filter("source is null").groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("n"))
