@@ -216,7 +216,7 @@ def audit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc"), word(lang).alias("lang"), word(source).alias("source"), word(text).alias("text"))
     counted = docs.mapInArrow(lambda batches: runs(batches, gather), "lang string, term string, source string, doc bigint, docs bigint, n bigint")
     # a hash stands before the other keys, which sort by comparing it alone as long as terms differ
-    ordered = counted.withColumn("h", F.xxhash64("lang", "term")).repartition(deal, "lang", "term").sortWithinPartitions("h", "lang", "term", "source", "doc").select("lang", "term", "source", "docs", "n")
+    ordered = counted.repartition(deal, "lang", "term").withColumn("h", F.xxhash64("lang", "term")).sortWithinPartitions("h", "lang", "term", "source", "doc").select("lang", "term", "source", "docs", "n")
     kept = written(ordered.mapInArrow(lambda batches: kept_terms(batches, least), "lang string, term string, source string, n bigint"), "terms")
 
     langs = kept.filter("source is null").groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("n"))
