@@ -77,6 +77,18 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it must stand in an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_rows(df: DataFrame, run, *at: str) -> DataFrame:
+    """df.mapInArrow(run) with df's own columns, whose names may be any; run gets the places of the columns `at` and the batches."""
+    places, numbers = [df.columns.index(c) for c in at], [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*numbers)
+    return plain.mapInArrow(lambda batches: run(*places, batches), plain.schema).toDF(*df.columns)
+
+
 def no_nulls_id(column: str = "doc_id"):
     """crc32 of an id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

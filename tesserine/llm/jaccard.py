@@ -23,7 +23,8 @@ and links with nothing; fewer words than the shingle's width make one shingle
 of the whole sequence; exact copies have equal sets and link; rows with equal
 ids are one document for the components; a null id links with nothing and has
 a null component; an empty table gives an empty one.  Texts of any length are
-read whole; only the id and the text are read.
+read whole; only the id and the text are read, other columns may have any
+names and stay as they are where rows are passed on.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, drop_written, mix, partitions, shingle_sets, slices, utf8, written
+from .common import WordHasher, drop_written, mix, partitions, quoted, shingle_sets, slices, utf8, written
 from .graph import components
 
 #: Keys that a task gathers before it passes them on.
@@ -353,4 +354,4 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, at_least: int = 90) -> DataFrame:
     """df without the documents of a class besides the one with the least key."""
     others = classes(df, key, text, width, at_least).filter(F.col(key) != F.col("component_id")).select(key)
-    return df.join(others, key, "left_anti").select(df.columns)
+    return df.join(others, key, "left_anti").select(*(F.col(quoted(c)) for c in df.columns))

@@ -13,7 +13,8 @@ Letters are lower-cased; any run of other characters is one boundary.
 Defined results: a null text, or one without a letter, is `und` with score 0;
 so is every text where nothing was learned.  Ties go to the language that sorts
 first.  Whole texts of any length are read; repeated rows are judged each for
-itself and count each in training; an empty table gives an empty one.
+itself and count each in training; an empty table gives an empty one;
+other columns may have any names and stay as they are where rows are passed on.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_worker
-from .common import Sent, mix, slices, utf8
+from .common import Sent, map_rows, mix, slices, utf8
 
 NONE = "und"
 
@@ -153,7 +154,7 @@ def predict(df: DataFrame, filters: Filters, key: str = "doc_id", text: str = "t
     kind = dict(df.dtypes)[key]
     sent = Sent(df.sparkSession, filters)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = judge(b.column(1), sent.value, n)
             yield pa.RecordBatch.from_arrays([b.column(0), names, scores], ["k", "lang_pred", "score"])
@@ -180,12 +181,12 @@ def judge(texts: pa.Array, filters: Filters, n: int) -> tuple[pa.Array, pa.Array
 
 def keep_known(df: DataFrame, filters: Filters, text: str = "text", n: int = 3, least: float = 0.35) -> DataFrame:
     """The rows of df whose text has a known language: not `und`, and a score of at least `least`."""
-    sent, at, schema = Sent(df.sparkSession, filters), df.columns.index(text), df.schema
+    sent = Sent(df.sparkSession, filters)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = judge(b.column(at), sent.value, n)
             ok = (np.array(names.to_pylist(), object) != NONE) & (scores.to_numpy() >= least)
             yield b.filter(pa.array(ok))
 
-    return df.mapInArrow(run, schema)
+    return map_rows(df, run, text)

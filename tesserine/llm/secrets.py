@@ -10,7 +10,7 @@ a match that is too short is dropped, but what it covered stays covered.
 Defined results: a null text counts as empty and has no spans; texts of any
 length are read whole; repeated rows are scanned each for itself; an empty
 table gives an empty one.  Only the id and the text are read (redact keeps all
-other columns).
+other columns, whatever their names).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent
+from .common import Sent, map_rows
 
 
 @dataclass(frozen=True)
@@ -304,7 +304,6 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Ru
 def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "<secret>") -> DataFrame:
     """df with every span of its text replaced by the mark, overlapping spans by one; null stays null."""
     sent = Sent(df.sparkSession, Scanner(rules))
-    at, schema = df.columns.index(text), df.schema
 
     def clean(x: str | None) -> str | None:
         data = (x or "").encode()
@@ -318,13 +317,13 @@ def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, m
             last = max(last, end)
         return b"".join([*out, data[last:]]).decode()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = b.columns
             columns[at] = pa.array([clean(x) for x in columns[at].to_pylist()], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return df.mapInArrow(run, schema)
+    return map_rows(df, run, text)
 
 
 def digest(found: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
