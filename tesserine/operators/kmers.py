@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions.bases import SWAPS, K, key_words, kmer_of, revcomp, windows
+from tesserine.operators import sketches
+from tesserine.session import stored
 
 
 def exploded(reads: DataFrame, k: int = K, trim: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -77,12 +79,8 @@ def packed_windows(codes: np.ndarray, k: int) -> list[np.ndarray]:
     return [np.where(own, first, high), np.where(own, last, low)]
 
 
-def packed_counts(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
-    """(w0, cnt) or (w0, w1, cnt): counts of canonical windows with keys of one or two longs (see kmer_of).
-
-    Windows are packed and counted in the scan's tasks, some at a time, so keys
-    of a word or two and their counts are all that is shuffled.
-    """
+def packed_partials(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
+    """(w0, n) or (w0, w1, n): canonical windows with keys of one or two longs (see kmer_of), packed and counted in the scan's tasks, some at a time; a key may come several times."""
     names = [f"w{i}" for i in range(key_words(k))]
     code = np.zeros(256, np.uint64)
     code[[ord(c) for c in "ACGT"]] = range(4)
@@ -112,8 +110,32 @@ def packed_counts(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
             yield counted([np.concatenate(w) for w in zip(*held, strict=True)])
 
     rows = reads.filter(F.length("s") >= k + 2 * trim).select("s")
-    found = rows.mapInArrow(run, ", ".join([*(f"{n} bigint" for n in names), "n bigint"]))
-    return found.groupBy(*names).agg(F.sum("n").alias("cnt"))
+    return rows.mapInArrow(run, ", ".join([*(f"{n} bigint" for n in names), "n bigint"]))
+
+
+def packed_counts(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
+    """(w0, cnt) or (w0, w1, cnt): counts of canonical windows; keys of a word or two and counts are all that is shuffled."""
+    return _summed(packed_partials(reads, k, trim))
+
+
+def _summed(partials: DataFrame) -> DataFrame:
+    return partials.groupBy(*partials.columns[:-1]).agg(F.sum("n").alias("cnt"))
+
+
+def repeats_only(reads: DataFrame, k: int = K, error: float = 0.05) -> DataFrame:
+    """Packed counts without most k-mers that occur once: two filters instead of a table of all k-mers.
+
+    A first pass adds every k-mer to a filter and what that filter has seen
+    before to a second one; a second pass counts what the second filter may
+    hold. Every k-mer that occurs twice is counted in full; of the others about
+    `error` are let through by chance.
+    """
+    partials = stored(packed_partials(reads, k), "kmers")
+    size = sketches.Size.of(max(1, partials.count()), error)
+    key = F.xxhash64(*partials.columns[:-1])
+    again = sketches.added(partials, key, size).filter("seen or n > 1")
+    repeats = stored(sketches.built(again, key, size), "repeats")
+    return _summed(sketches.possible(partials, key, repeats, size))
 
 
 def unpacked_counts(counts: DataFrame, k: int) -> DataFrame:

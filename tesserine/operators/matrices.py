@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.operators import order
+from tesserine.session import shared_path, stored
 
 
 def product(matrix: DataFrame, vector: DataFrame, steps: int = 1) -> DataFrame:
@@ -16,8 +19,6 @@ def product(matrix: DataFrame, vector: DataFrame, steps: int = 1) -> DataFrame:
 
 def powered(matrix: DataFrame, vector: DataFrame, steps: int) -> DataFrame:
     """x <- A x, `steps` times, each result a written table."""
-    from tesserine.session import stored
-
     for _ in range(steps):
         vector = stored(product(matrix, vector).select(F.col("row").alias("idx"), F.col("y").alias("x")), "power")
     return vector
@@ -62,3 +63,21 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def row_pointers(matrix: DataFrame) -> DataFrame:
     """(row, length, start): the CSR row lengths and their prefix sums, by ranges of rows."""
     return order.running(matrix.groupBy("row").agg(F.count("*").alias("length")), "length", "row")
+
+
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """df as a written table in buckets of a column, each sorted by it: a join on the column with another such table moves neither."""
+    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", shared_path(spark, "blocks")).saveAsTable(name)
+    return spark.table(name)
+
+
+def products(matrix: DataFrame, vectors: list[DataFrame], buckets: int | None = None) -> list[DataFrame]:
+    """(row, y) for each vector, over one matrix laid out by blocks of columns.
+
+    The matrix is written once; a product then moves its vector and the partial
+    sums of rows, which are as many as rows for each block at most.
+    """
+    n = buckets or int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(matrix.select("row", "col", "val"), "col", n)
+    return [product(blocks, bucketed(v.select("idx", "x"), "idx", n).hint("merge")) for v in vectors]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +40,66 @@ def built(keys: DataFrame, key: Column, size: Size) -> DataFrame:
     return keys.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
 
 
-def possible(rows: DataFrame, key: Column, filter_: DataFrame, size: Size) -> DataFrame:
-    """Rows whose key the filter may hold; none that it holds is lost."""
+#: Words of a filter that goes to the tasks as one value (8 MB); a larger one is joined.
+VALUE = 1 << 20
+
+
+def as_value(filter_: DataFrame, size: Size) -> Column:
+    """The filter's words, in order, as one array: a subquery that runs once, whose result goes with the tasks."""
+    every = filter_.sparkSession.range(size.words).join(filter_, F.col("id") == F.col("word"), "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"])
+    return every.agg(words).scalar()
+
+
+def possible(rows: DataFrame, key: Column, filter_: DataFrame, size: Size, most: int = VALUE) -> DataFrame:
+    """Rows whose key the filter may hold; none that it holds is lost. A filter of up to `most` words is tested in the scan of the rows."""
     word, mask = located(key, size)
+    if size.words <= most:
+        held = rows.withColumns({"_mask": mask, "_bits": F.get(as_value(filter_, size), word.cast("int"))})
+        return held.filter(F.col("_mask").bitwiseAND(F.col("_bits")) == F.col("_mask")).drop("_mask", "_bits")
     met = rows.withColumns({"_word": word, "_mask": mask}).join(filter_, F.col("_word") == F.col("word"))
     return met.filter(F.col("_mask").bitwiseAND(F.col("bits")) == F.col("_mask")).drop("_word", "_mask", "word", "bits")
 
 
+def added(rows: DataFrame, key: Column, size: Size, *order: str) -> DataFrame:
+    """rows with `seen`: whether a filter to which their keys are added one after the other, by `order`, may have held the key already.
+
+    The words are dealt out to as many tasks as there are shuffle partitions;
+    each holds its own words and no others.
+    """
+    deal = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = -(-size.words // deal)
+    word, mask = located(key, size)
+    n = len(rows.columns)
+    plain = rows.toDF(*(f"c{i}" for i in range(n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            word, mask = (b.column(n + i).to_numpy(zero_copy_only=False) for i in range(2))
+            mask = mask.view(np.uint64)
+            # of equal keys in a batch, all but the first one are seen
+            _, first, same = np.unique(np.stack([word, mask.view(np.int64)], 1), axis=0, return_index=True, return_inverse=True)
+            seen = np.ones(len(word), bool)
+            left = np.sort(first)
+            while len(left):  # the first key of each word, then the second, and so on
+                _, turn = np.unique(word[left], return_index=True)
+                now = left[turn]
+                for part in np.unique(word[now] // each):
+                    filter_ = parts.setdefault(int(part), np.zeros(each, np.uint64))
+                    own = now[word[now] // each == part]
+                    at = word[own] % each
+                    seen[own] = filter_[at] & mask[own] == mask[own]
+                    filter_[at] |= mask[own]
+                left = np.delete(left, turn)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(seen)], [*(f"c{i}" for i in range(n)), "seen"])
+
+    dealt = rows.select(*rows.columns, word.alias("_word"), mask.alias("_mask")).repartition(deal, F.expr(f"_word div {each}"))
+    ordered = dealt.sortWithinPartitions(*order) if order else dealt
+    schema = ", ".join([*(f"c{i} {t}" for i, (_, t) in enumerate(plain.dtypes)), "seen boolean"])
+    return ordered.toDF(*plain.columns, "word", "mask").mapInArrow(run, schema).toDF(*rows.columns, "seen")
+
+
 def cardinality(filter_: DataFrame, size: Size) -> DataFrame:
     """Estimate of the keys from the bits set."""
     m = 64.0 * size.words
@@ -74,9 +130,29 @@ def classic(keys: DataFrame, key: Column, size: Size) -> DataFrame:
     return bit.select(F.expr("bit div 64").alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
 
 
-def classic_possible(rows: DataFrame, key: str, filter_: DataFrame, size: Size) -> DataFrame:
-    """(key): the distinct keys that a classic filter may hold."""
-    asked = rows.select(F.col(key).alias("key")).distinct().select("key", F.explode(places(F.col("key"), size)).alias("bit"))
+def classic_possible(rows: DataFrame, key: str, filter_: DataFrame, size: Size, most: int = VALUE) -> DataFrame:
+    """(key): the distinct keys that a classic filter may hold. A filter of up to `most` words is tested in the scan of the rows."""
+    asked = rows.select(F.col(key).alias("key")).distinct()
+    if size.words <= most:
+        words = as_value(filter_, size)
+        bits = asked.select("key", places(F.col("key"), size).alias("bits"), words.alias("words"))
+        bit = lambda i: F.coalesce(F.get("bits", F.lit(i)), F.get("bits", F.lit(0)))  # noqa: E731  equal places stand once
+        held = lambda i: F.getbit(F.get("words", F.call_function("div", bit(i), F.lit(64)).cast("int")), (bit(i) % 64).cast("int")) == 1
+        test = held(0)
+        for i in range(1, size.hashes):
+            test = test & held(i)
+        return bits.filter(test).select(F.col("key").alias(key))
+    asked = asked.select("key", F.explode(places(F.col("key"), size)).alias("bit"))
     met = asked.join(filter_, F.expr("bit div 64") == F.col("word"), "left")
     held = F.coalesce(F.getbit("bits", (F.col("bit") % 64).cast("int")) == 1, F.lit(False))
     return met.groupBy("key").agg(F.bool_and(held).alias("held")).filter("held").select(F.col("key").alias(key))
+
+
+def distinct_sketches(df: DataFrame, key: Column, *by: str, bits: int = 12) -> DataFrame:
+    """(by, sketch): HyperLogLog sketches of the keys of each part, which can be stored and united later; their error is about 1.04 / 2 ** (bits / 2)."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(key, bits).alias("sketch"))
+
+
+def united(sketches: DataFrame, *by: str) -> DataFrame:
+    """(by, estimate): distinct keys of the union of sketches."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch", F.lit(True))).alias("estimate"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions import bases, text
-from tesserine.operators import chains, kmers, tables
+from tesserine.operators import chains, kmers, observed, tables
 from tesserine.plans.registry import query
-from tesserine.session import table
+from tesserine.session import stored, table
 
 K = bases.K
 READS = "r as (select doc_id, lang, translate(upper(regexp_replace(lower(text),'[^acgtn]','','g')),'N','G') s from documents)"
@@ -48,6 +48,22 @@ def q_kmer_packed(spark, sf_dir):
     return out
 
 
+@query(f"with {COUNTS} select kmer, cnt from c where cnt >= 2")
+def q_kmer_two_pass(spark, sf_dir):
+    """Repeated k-mers by two filters and a second pass."""
+    return kmers.unpacked_counts(kmers.repeats_only(reads(spark, sf_dir)).filter("cnt >= 2"), K)
+
+
+@query(f"with {COUNTS} select count(*) filter (cnt >= 2)::bigint as repeats, count(*) filter (cnt >= 2)::bigint as counted, true as few_admitted from c")
+def q_kmer_two_pass_error(spark, sf_dir):
+    """Repeated k-mers, those that the two filters let through, and whether few that occur once came with them."""
+    error, n = 0.05, F.col("cnt")
+    met = kmers.repeats_only(reads(spark, sf_dir), error=error).select("cnt", F.lit(1).alias("met")).unionByName(kmers.packed_counts(reads(spark, sf_dir)).select("cnt", F.lit(0).alias("met")))
+    count = lambda test: F.count_if(test)
+    few = count((n == 1) & (F.col("met") == 1)) <= F.greatest(F.lit(3), count((n == 1) & (F.col("met") == 0)) * 2 * error)
+    return met.agg(count((n >= 2) & (F.col("met") == 0)).alias("repeats"), count((n >= 2) & (F.col("met") == 1)).alias("counted"), few.alias("few_admitted"))
+
+
 def packed_canonical_sql(k: int) -> str:
     return f"select {k} as k, doc_id, least(km, reverse(translate(km,'ACGT','TGCA'))) as canonical from (select doc_id, substr(s, 1, {k}) as km from r where length(s) >= {k})"
 
@@ -175,6 +191,15 @@ def q_read_totals(spark, sf_dir):
     return reads(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("reads"), (4 * F.count("*")).alias("lines"), F.sum(F.when(n >= K + 2, n - (K + 1)).otherwise(0)).cast("long").alias("kmers"))
 
 
+@query(f"with {READS} select count(*)::bigint reads, (4*count(*))::bigint lines, sum(length(s))::bigint bases, sum(case when length(s) >= {K + 2} then length(s)-{K + 1} else 0 end)::bigint kmers from r")
+def q_read_totals_observed(spark, sf_dir):
+    """Totals of the reads that the one job that writes them out leaves behind."""
+    n, watch = F.length("s"), observed.Watch("read")
+    rows = watch.on(reads(spark, sf_dir), "reads written", reads=F.count("*"), lines=4 * F.count("*"), bases=F.sum(n).cast("long"), kmers=F.sum(F.when(n >= K + 2, n - (K + 1)).otherwise(0)).cast("long"))
+    stored(rows, "reads")
+    return spark.createDataFrame([watch.totals("reads written")], "reads bigint, lines bigint, bases bigint, kmers bigint")
+
+
 @query(f"with {READS} select count(*)::bigint records, sum(greatest(length(s)-{K}+1,0))::bigint kmers from r")
 def q_estimate_kmers(spark, sf_dir):
     return reads(spark, sf_dir).agg(F.count("*").alias("records"), F.sum(F.greatest(F.length("s") - K + 1, F.lit(0))).cast("long").alias("kmers"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserine.operators import sketches, tables
 from tesserine.plans.registry import query
-from tesserine.session import table
+from tesserine.session import stored, table
 
 FIRST = "f as (select o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) first_order from orders group by o_custkey)"
 
@@ -114,3 +114,22 @@ def q_bloom_cardinality(spark, sf_dir):
     n = p.agg(F.count("*").alias("n"))
     both = n.select("n", F.lit(None).cast("long").alias("estimate")).unionByName(guess.select(F.lit(None).cast("long").alias("n"), "estimate")).agg(F.max("n").alias("n"), F.max("estimate").alias("estimate"))
     return both.select("n", (F.abs(F.col("estimate") - F.col("n")) <= 0.15 * F.col("n")).alias("close"))
+
+
+@query("select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) > 1 as seen from orders where o_custkey is not null")
+def q_bloom_add(spark, sf_dir):
+    """Whether a filter had each order's customer before, by date; with an error of 1e-12 it is never wrong here."""
+    o = table(spark, sf_dir, "orders").filter("o_custkey is not null").select("o_orderkey", "o_custkey", "o_orderdate")
+    size = sketches.Size.of(max(1, o.count()), 1e-12)
+    return sketches.added(o, F.col("o_custkey"), size, "o_orderdate", "o_orderkey").select("o_orderkey", "seen")
+
+
+@query("""with l as (select l_returnflag as part, count(distinct l_partkey)::bigint as n from lineitem group by 1 union all select 'all', count(distinct l_partkey)::bigint from lineitem)
+select part, n, true as close from l""")
+def q_hll_union(spark, sf_dir):
+    """Distinct parts of each kind of line and of all lines, and whether the stored sketches and their union come within 5 per cent."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("part"), "l_partkey")
+    kept = stored(sketches.distinct_sketches(rows, F.col("l_partkey"), "part", bits=14), "sketches")
+    guess = sketches.united(kept, "part").unionByName(sketches.united(kept.withColumn("part", F.lit("all")), "part"))
+    exact = rows.groupBy("part").agg(F.count_distinct("l_partkey").alias("n")).unionByName(rows.agg(F.count_distinct("l_partkey").alias("n")).select(F.lit("all").alias("part"), "n"))
+    return exact.join(guess, "part").select("part", "n", (F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("close"))

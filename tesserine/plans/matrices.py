@@ -36,6 +36,14 @@ def q_spmv_split(spark, sf_dir):
     return matrices.split_product(coo(spark, sf_dir), vector(spark, sf_dir), 500, 1500)
 
 
+@query("select l_orderkey as row, sum(l_quantity::decimal(18,4) * p_size)::double as y, sum(l_quantity::decimal(18,4) * (p_partkey % 7))::double as z from lineitem join part on l_partkey = p_partkey group by l_orderkey")
+def q_spmv_blocked(spark, sf_dir):
+    """Two products over one stored layout of the matrix."""
+    other = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), (F.col("p_partkey") % 7).alias("x"))
+    y, z = matrices.products(coo(spark, sf_dir), [vector(spark, sf_dir), other])
+    return y.join(z.withColumnRenamed("y", "z"), "row")
+
+
 @query("select l_orderkey-1000 as row, l_partkey-100 as col, l_quantity as val from lineitem where l_orderkey >= 1000 and l_orderkey < 5000 and l_partkey >= 100 and l_partkey < 1500")
 def q_matrix_slice(spark, sf_dir):
     return matrices.sliced(coo(spark, sf_dir), (1000, 5000), (100, 1500))

@@ -13,7 +13,7 @@ from tesserine.plans.genomics import COUNTS, READS, K, reads
 from tesserine.plans.registry import query
 from tesserine.session import shared_path, table
 from tesserine.sources import files, sinks
-from tesserine.streaming import counters
+from tesserine.streaming import counters, keyed
 
 
 @query(r"""select page_id, len(string_split(url,'/')) - (case when url like '%/' then 1 else 0 end)::bigint as parts, replace(url,' ','_') no_spaces,
@@ -132,6 +132,15 @@ def q_stream_counter(spark, sf_dir):
     return counters.counted(spark, f"{sf_dir}/events.parquet", "event_type")
 
 
+@query("select o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) first_order from orders where o_custkey is not null group by o_custkey")
+def q_stream_table(spark, sf_dir):
+    """Each customer's first order, from a stream of writes with state for each key."""
+    rows = counters.files(spark, f"{sf_dir}/orders.parquet").filter("o_custkey is not null")
+    stamp = F.concat(F.date_format("o_orderdate", "yyyyMMddHHmmss.SSSSSS"), F.lpad(F.col("o_orderkey").cast("string"), 20, "0"))
+    writes = rows.select(F.col("o_custkey").alias("key"), F.lit(None).cast("long").alias("ask"), stamp.alias("stamp"), F.col("o_orderkey").alias("value"))
+    return keyed.table(keyed.run(writes, -1)).select(F.col("key").alias("o_custkey"), F.col("value").alias("first_order"))
+
+
 @query("""with w as (select max(ts) - interval 2 hour as mark from events)
 select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as "start", event_type, count(*)::bigint n from events, w where date_trunc('hour', ts) + interval 1 hour <= date_trunc('milliseconds', mark) group by 1, 2""")
 def q_stream_windows(spark, sf_dir):
