@@ -11,22 +11,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.functions.hashing import mix64, once, unsigned_mod
+
 
 @dataclass(frozen=True)
 class Size:
-    """Sizing for n keys and error p."""
+    """Sizing for n keys and error p. With chain, a key, which is a long then, has its word and bits from one mix of 64 bits after the other; else they are hashes of seeds."""
 
     words: int
     hashes: int
+    chain: bool = False
 
     @staticmethod
-    def of(n: int, p: float) -> Size:
+    def of(n: int, p: float, chain: bool = False) -> Size:
         bits = -math.log(p) / math.log(2) ** 2
-        return Size(max(1, math.ceil(n * bits / 64)), math.ceil(math.log(2) * bits))
+        return Size(max(1, math.ceil(n * bits / 64)), math.ceil(math.log(2) * bits), chain)
 
 
 def located(key: Column, size: Size) -> tuple[Column, Column]:
     """(word, mask) of a key."""
+    if size.chain:
+        word = mix64(key)
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), unsigned_mod(h, 64).cast("int"))
+        step = lambda a, i: once(mix64(a["h"]), lambda h: F.struct(h.alias("h"), a["mask"].bitwiseOR(bit(h)).alias("mask")))
+        start = F.struct(word.alias("h"), F.lit(0).cast("long").alias("mask"))
+        return unsigned_mod(word, size.words), F.aggregate(F.sequence(F.lit(1), F.lit(size.hashes)), start, step)["mask"]
     mask = F.lit(0).cast("long")
     for k in range(size.hashes):
         bit = F.pmod(F.shiftrightunsigned(F.xxhash64(key, F.lit(k + 1)), 7), F.lit(64)).cast("int")

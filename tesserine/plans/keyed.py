@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.functions import hashing
 from tesserine.operators import sketches, tables
 from tesserine.plans.registry import query
 from tesserine.session import stored, table
@@ -133,3 +134,30 @@ def q_hll_union(spark, sf_dir):
     guess = sketches.united(kept, "part").unionByName(sketches.united(kept.withColumn("part", F.lit("all")), "part"))
     exact = rows.groupBy("part").agg(F.count_distinct("l_partkey").alias("n")).unionByName(rows.agg(F.count_distinct("l_partkey").alias("n")).select(F.lit("all").alias("part"), "n"))
     return exact.join(guess, "part").select("part", "n", (F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("close"))
+
+
+#: The mix of part keys, times a spread that fills 64 bits, on whole numbers of 128 bits.
+MIX = """with a as (select p_partkey, ((p_partkey * 11400714819323198485::hugeint) % 18446744073709551616::hugeint) as k from part),
+b as (select p_partkey, (18446744073709551615::hugeint - k + k * 2097152 % 18446744073709551616::hugeint) % 18446744073709551616::hugeint as k from a),
+c as (select p_partkey, xor(k, k // 16777216) as k from b), d as (select p_partkey, k * 265 % 18446744073709551616::hugeint as k from c),
+e as (select p_partkey, xor(k, k // 16384) as k from d), f as (select p_partkey, k * 21 % 18446744073709551616::hugeint as k from e),
+g as (select p_partkey, xor(k, k // 268435456) as k from f), h as (select p_partkey, (k + k * 2147483648 % 18446744073709551616::hugeint) % 18446744073709551616::hugeint as k from g)
+select p_partkey, (case when k >= 9223372036854775808::hugeint then k - 18446744073709551616::hugeint else k end)::bigint as mixed from h"""
+
+
+@query(MIX)
+def q_mix64(spark, sf_dir):
+    """A mix of 64 bits of numbers that fill them."""
+    spread = F.pmod(F.col("p_partkey").cast("decimal(20,0)") * F.lit("11400714819323198485").cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)"))
+    half = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    signed = F.when(spread >= half, spread - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(spread).cast("long")
+    return table(spark, sf_dir, "part").select("p_partkey", hashing.mix64(signed).alias("mixed"))
+
+
+@query(HELD)
+def q_bloom_chained(spark, sf_dir):
+    """Membership by a filter whose bits come from one mix after the other."""
+    p, size = sized(spark, sf_dir, 0.01)
+    size = sketches.Size(size.words, size.hashes, chain=True)
+    some = sketches.possible(p, F.col("p_partkey"), sketches.built(p.filter("p_size <= 25"), F.col("p_partkey"), size), size)
+    return _judged(some, p)

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserine.operators.logs import carried
 from tesserine.sources import binary, ranges
 
 
@@ -63,10 +64,15 @@ def _market_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def matrix_market(spark: SparkSession, path: str, base: int = 1) -> DataFrame:
-    """(row, col, val), counted from 0; an entry without a value has 1."""
+    """(row, col, val), counted from 0; an entry without a value has 1. A file whose entries are not in the order of rows and columns is an error."""
     lines, sizes = _market_lines(spark, path)
     parts = F.split(F.trim("line"), r"\s+")
-    return lines.join(sizes.select("file", "at"), ["file", "at"], "left_anti").select((F.get(parts, F.lit(0)).cast("long") - base).alias("row"), (F.get(parts, F.lit(1)).cast("long") - base).alias("col"), F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("val"))
+    place = F.struct((F.get(parts, F.lit(0)).cast("long") - base).alias("row"), (F.get(parts, F.lit(1)).cast("long") - base).alias("col"))
+    cells = lines.join(sizes.select("file", "at"), ["file", "at"], "left_anti").withColumn("place", place)
+    # the entry before each one, by segments of a file
+    back = F.col("before").isNotNull() & (F.col("place") < F.col("before"))
+    checked = carried(cells, F.col("place")).withColumn("val", F.when(back, F.raise_error(F.concat(F.lit("entries are not sorted: "), "line")).cast("double")).otherwise(F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0))))
+    return checked.select("place.row", "place.col", "val")
 
 
 def matrix_sizes(spark: SparkSession, path: str) -> tuple[int, int, int]:

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesserine.functions import bases
+from tesserine.functions import bases, hashing
 from tesserine.operators import kmers, matrices, observed, sketches
+from tesserine.sources import files
 from tesserine.streaming import keyed
 
 
@@ -129,3 +130,37 @@ def test_observed_totals(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     steps, total, mean = watch.seconds("reads")
     assert steps == 1 and total == mean > 0 and watch.seconds("other") == (0, 0, 0.0)
+
+
+def test_mix(spark):
+    top = 1 << 64
+
+    def mixed(x):
+        x = (~x + (x << 21)) % top
+        x = (x ^ x >> 24) * 265 % top
+        x = (x ^ x >> 14) * 21 % top
+        return (x ^ x >> 28) * ((1 << 31) + 1) % top
+
+    rng = random.Random(9)
+    rows = [0, 1, -1, -(1 << 63), (1 << 63) - 1, *(rng.randrange(-(1 << 63), 1 << 63) for _ in range(300))]
+    df = spark.createDataFrame([(x,) for x in rows], "x long")
+    size = sketches.Size(7, 5, chain=True)
+    word, mask = sketches.located(F.col("x"), size)
+    for r in df.select("x", hashing.mix64(F.col("x")).alias("m"), word.alias("w"), mask.alias("b"), hashing.unsigned_mod(F.col("x"), 1000).alias("u")).collect():
+        h = mixed(r.x % top)
+        assert r.m % top == h and r.w == h % 7 and r.u == r.x % top % 1000
+        bits = 0
+        for _ in range(5):
+            h = mixed(h)
+            bits |= 1 << h % 64
+        assert r.b % top == bits
+
+
+def test_unsorted_matrices_are_refused(spark, tmp_path):
+    head = "%%MatrixMarket matrix coordinate real general\n3 3 3\n"
+    (tmp_path / "a.mtx").write_text(head + "1 2 5\n1 2 6\n3 1\n")
+    assert sorted(map(tuple, files.matrix(spark, str(tmp_path / "a.mtx")).collect())) == [(0, 1, 5.0), (0, 1, 6.0), (2, 0, 1.0)]
+    for body in ("2 1 1\n1 1 1\n", "1 2 1\n1 1 1\n"):
+        (tmp_path / "b.mtx").write_text(head + body)
+        with pytest.raises(Exception, match="entries are not sorted"):
+            files.matrix(spark, str(tmp_path / "b.mtx")).collect()
