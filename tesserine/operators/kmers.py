@@ -176,8 +176,9 @@ def estimated(reads: DataFrame, file: str, order: str, size: Column, limit: int
 
 
 def repeated(reads: DataFrame, k: int = K, threshold: int = 2) -> DataFrame:
-    """Counts of at least the threshold, which is 2 or more: single k-mers never pass."""
-    return counts(reads, k).filter(F.col("cnt") >= max(2, threshold))
+    """Counts of at least the threshold, which is 2 or more: single k-mers never pass. Keys of up to 64 bases are packed until they have passed."""
+    enough = F.col("cnt") >= max(2, threshold)
+    return unpacked_counts(packed_counts(reads, k).filter(enough), k) if k <= 64 else counts(reads, k).filter(enough)
 
 
 def looked_up(keys: DataFrame, table: DataFrame) -> DataFrame:
