@@ -52,6 +52,6 @@ def cycles(found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def strings(found: DataFrame, values: DataFrame) -> DataFrame:
-    """(start, n, contig): the values of each whole chain joined in order."""
+    """(start, n, contig): the values of each whole chain joined in order. A chain's text is one value, so it has to fit into a row (2 GB) of one task."""
     rows = found.filter("whole").join(values, "id").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("v"))
     return rows.select("start", F.size("v").cast("long").alias("n"), F.array_join(F.transform("v", lambda x: x["value"]), "").alias("contig"))
