@@ -62,10 +62,14 @@ def packed_words(kmer: Column, k: int) -> Column:
     return F.array(*(packed(F.substring(kmer, a + 1, min(32, k - a)), min(32, k - a)) for a in range(0, k, 32)))
 
 
+def _bases(word: Column, n: int) -> Column:
+    """The last n bases of a word. By its hexadecimal digits, which have no sign: conv takes the decimal ones of the least long for an overflow."""
+    return F.translate(F.lpad(F.conv(F.hex(word.cast("long")), 16, 4), n, "0"), "0123", "ACGT")
+
+
 def unpacked(number: Column, k: int) -> Column:
     """The k bases, 32 at most, of a packed number."""
-    width = 4 * ((k + 3) // 4)
-    return F.substring(F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), width, "0"), "0123", "ACGT"), 1, k)
+    return F.substring(_bases(number, 4 * ((k + 3) // 4)), 1, k)
 
 
 def unpacked_words(numbers: Column, k: int) -> Column:
@@ -126,8 +130,7 @@ def key_of(kmer: Column, k: int) -> list[Column]:
 
 def kmer_of(words: list[Column], k: int) -> Column:
     """The bases of a key."""
-    text = lambda x, n: F.translate(F.lpad(F.conv(x.cast("string"), 10, 4), n, "0"), "0123", "ACGT")
-    return text(words[0], k) if key_words(k) == 1 else F.concat(text(words[0], k - 32), text(words[1], 32))
+    return _bases(words[0], k) if key_words(k) == 1 else F.concat(_bases(words[0], k - 32), _bases(words[1], 32))
 
 
 def djb2(s: Column, modulus: int = 2147483647) -> Column:

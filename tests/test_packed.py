@@ -36,6 +36,16 @@ def test_keys(spark, k):
         bases.key_words(65)
 
 
+@pytest.mark.parametrize("k", [31, 32, 51, 64])
+def test_words_with_the_first_bit_alone(spark, k):
+    """A word that is the least long (G or, in a whole word of fewer bases, G and A behind it) is unpacked as any other; also the ends of the range."""
+    rows = ["G" + "A" * (k - 1), "C" * (k - 32) + "G" + "A" * min(k - 1, 31), "C" * max(0, k - 32) + "CT" + "T" * (min(k, 32) - 2), "T" * k]
+    rows = [r for r in rows if len(r) == k]
+    df = spark.createDataFrame([(r,) for r in rows], "s string")
+    got = df.select("s", bases.kmer_of(bases.key_of(F.col("s"), k), k).alias("same"), bases.unpacked_words(bases.packed_words(F.col("s"), k), k).alias("whole")).collect()
+    assert len(got) >= 3 and all(r.same == r.s == r.whole for r in got)
+
+
 @pytest.mark.parametrize("k", [3, 32, 40])
 def test_packed_counts(spark, k, monkeypatch):
     rng = random.Random(k)
