@@ -46,6 +46,22 @@ def test_words_with_the_first_bit_alone(spark, k):
     assert len(got) >= 3 and all(r.same == r.s == r.whole for r in got)
 
 
+def test_queries_of_the_least_long(spark, tmp_path):
+    """q_kmer_packed and q_kmer_key_canonical against their SQL where a key's last word is G and 31 A."""
+    import duckdb
+
+    from tesserine.plans import genomics
+    from tesserine.plans.registry import SQL
+
+    read = "CGA" * 6 + "CG" + "A" * 40
+    rows = [(1, "x", read), (2, "x", "T" + read), (3, "x", read[::-1]), (4, "y", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("q_kmer_packed", "q_kmer_key_canonical"):
+        got = sorted(map(tuple, getattr(genomics, name)(spark, str(tmp_path)).collect()))
+        assert got and got == sorted(duckdb.sql(SQL[name]).fetchall())
+
+
 @pytest.mark.parametrize("k", [3, 32, 40])
 def test_packed_counts(spark, k, monkeypatch):
     rng = random.Random(k)
