@@ -25,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 PACKED = {"gz": "gzip", "bz2": "bz2", "zst": "zstd"}
 #: Bytes that a task reads at once, and about as many that it puts out.
 CHUNK = 1 << 20
+#: Bytes behind a small range that are read with it.
+TAIL = 1 << 12
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -56,7 +58,7 @@ def listed(path: str) -> list[tuple[str, int]]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Bytes start to end - 1 of a file."""
 
     path: str
@@ -65,6 +67,26 @@ class Range(InputPartition):
     packed: str | None = None
 
 
+@dataclass
+class Ranges(InputPartition):
+    """The ranges of a task, one after the other."""
+
+    ranges: list[Range]
+
+
+def dealt(ranges: list[Range], each: int) -> list[Ranges]:
+    """Neighbouring ranges by tasks of up to `each` bytes, one range at least: small ranges do not make as many tasks."""
+    out: list[Ranges] = []
+    size = 0
+    for r in ranges:
+        size += r.end - r.start
+        if not out or size > each:
+            out.append(Ranges([]))
+            size = r.end - r.start
+        out[-1].ranges.append(r)
+    return out
+
+
 def cut(path: str, split: int) -> list[Range]:
     out = []
     for name, size in listed(path):
@@ -86,7 +108,10 @@ def lines_from(range_: Range) -> Iterator[tuple[int, bytes, bool]]:
         file = pa.CompressedInputStream(raw, range_.packed) if range_.packed else raw
         held: list[bytes] = []
         skip = range_.start > 0
-        while data := file.read(CHUNK):
+        # a small range and a little more at first, then more and more of what its last record takes
+        size, more = min(CHUNK, range_.end - here + TAIL), TAIL
+        while data := file.read(size):
+            size, more = (CHUNK, CHUNK) if size == CHUNK else (more, min(CHUNK, 2 * more))
             first, *others = data.split(b"\n")
             held.append(first)
             for line in others:
@@ -162,27 +187,31 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.split = options["path"], int(options.get("split", 64 << 20))
         self.pairs = str(options.get("pairs", "false")).lower() == "true"
+        self.most, self.cores = int(options.get("most", self.split)), int(options.get("cores", 1))
 
-    def partitions(self) -> list[Range]:
-        return cut(self.path, self.split) or [Range("", 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        """As many bytes a task as Spark's own file scans give one: all bytes over the cores, up to `most`, but a whole range."""
+        every = cut(self.path, self.split)
+        size = sum(size for _, size in listed(self.path))
+        return dealt(every, min(self.most, -(-size // self.cores))) or [Ranges([])]
 
 
 class FastqReader(Reader):
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            yield from batches(records_from(partition, self.pairs), [pa.string()] * 3, ["id", "seq", "qual"])
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        rows = (x for r in partition.ranges for x in records_from(r, self.pairs))
+        yield from batches(rows, [pa.string()] * 3, ["id", "seq", "qual"])
 
 
 class LineReader(Reader):
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[str, int, bool, bytes]]:
-            for at, line, ended in lines_from(partition):
-                if at >= partition.end:
-                    return
-                yield partition.path, at, ended, line.removesuffix(b"\r")
+            for r in partition.ranges:
+                for at, line, ended in lines_from(r):
+                    if at >= r.end:
+                        break
+                    yield r.path, at, ended, line.removesuffix(b"\r")
 
-        if partition.path:
-            yield from batches(rows(), [pa.string(), pa.int64(), pa.bool_(), pa.string()], ["file", "at", "ended", "line"])
+        yield from batches(rows(), [pa.string(), pa.int64(), pa.bool_(), pa.string()], ["file", "at", "ended", "line"])
 
 
 class Fastq(DataSource):
@@ -214,7 +243,8 @@ class Lines(DataSource):
 
 
 def read(spark: SparkSession, source: type[DataSource], path: str, split: int | None = None, **options) -> DataFrame:
-    """A source's rows; a range has as many bytes as Spark gives a task unless `split` says so."""
-    options["split"] = split or spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    """A source's rows; a range has as many bytes as Spark gives a task unless `split` says so. Smaller ranges go to a task together."""
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    options |= {"split": split or most, "most": most, "cores": spark.sparkContext.defaultParallelism}
     spark.dataSource.register(source)
     return spark.read.format(source.name()).options(**{k: str(v) for k, v in options.items()}).load(path)

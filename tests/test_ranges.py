@@ -50,6 +50,19 @@ def test_one_file_many_tasks(spark, tmp_path):
     assert sorted(map(tuple, files.fastq(spark, str(tmp_path / "*.gz"), split=100).collect())) == sorted(rows[:50])
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Many small ranges are dealt to a few tasks, and read about once."""
+    rows = pairs(random.Random(2), 3000)
+    path = tmp_path / "reads.fastq"
+    path.write_text("".join(f"@{a}\n{b}\n+\n{c}\n" for a, b, c in rows))
+    df = files.fastq(spark, f"file://{path}", split=500, pairs=True)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(ranges.cut(str(path), 500)) > 100 and cores <= df.rdd.getNumPartitions() <= cores + 1
+    assert sorted(map(tuple, df.collect())) == sorted(rows)
+    parts = [ranges.Range("", a, a + 10) for a in range(0, 100, 10)]
+    assert [len(t.ranges) for t in ranges.dealt(parts, 35)] == [3, 3, 3, 1] and [len(t.ranges) for t in ranges.dealt(parts, 1)] == [1] * 10
+
+
 def test_bad_records_are_never_skipped(tmp_path):
     """A bad record at a border is an error of the range before it, or of its own."""
     good = [f"@r{i}/1\nACGT\n+\nIIII\n" for i in range(20)]
