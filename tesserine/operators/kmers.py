@@ -63,6 +63,16 @@ def _mirrored(words: np.ndarray) -> np.ndarray:
     return ~((words >> np.uint64(32)) | (words << np.uint64(32)))
 
 
+#: The code of each byte that is a base.
+CODE = np.zeros(256, np.uint64)
+CODE[[ord(c) for c in "ACGT"]] = range(4)
+
+
+def own_windows(codes: np.ndarray, k: int) -> list[np.ndarray]:
+    """The keys of all windows of k codes, k at least, as they are."""
+    return [_rolled(codes, k)] if k <= 32 else [_rolled(codes, k - 32)[: len(codes) - k + 1], _rolled(codes, 32)[k - 32 :]]
+
+
 def packed_windows(codes: np.ndarray, k: int) -> list[np.ndarray]:
     """The keys of all windows of k codes in their canonical form, a word or two."""
     if len(codes) < k:
@@ -82,8 +92,6 @@ def packed_windows(codes: np.ndarray, k: int) -> list[np.ndarray]:
 def packed_partials(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
     """(w0, n) or (w0, w1, n): canonical windows with keys of one or two longs (see kmer_of), packed and counted in the scan's tasks, some at a time; a key may come several times."""
     names = [f"w{i}" for i in range(key_words(k))]
-    code = np.zeros(256, np.uint64)
-    code[[ord(c) for c in "ACGT"]] = range(4)
 
     def counted(words: list[np.ndarray]) -> pa.RecordBatch:
         order = np.lexsort(words[::-1]) if len(words) > 1 else np.argsort(words[0])
@@ -101,7 +109,7 @@ def packed_partials(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
                 # a long read goes by parts that overlap by k - 1 bases
                 for a in range(trim, len(bases) - k - trim + 1, WINDOWS):
                     part = bases[a : min(a + WINDOWS + k - 1, len(bases) - trim)]
-                    held.append(packed_windows(code[part], k))
+                    held.append(packed_windows(CODE[part], k))
                     many += len(held[-1][0])
                     if many >= WINDOWS:
                         yield counted([np.concatenate(w) for w in zip(*held, strict=True)])
@@ -113,6 +121,47 @@ def packed_partials(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*(f"{n} bigint" for n in names), "n bigint"]))
 
 
+def sides(reads: DataFrame, k: int = K) -> DataFrame:
+    """(kmer, n_next, n_last): how often each k-mer follows a window one base on, and how often it stands one base before one, over windows without each read's first and last.
+
+    That is every window but a read's first two, and every one but its last two;
+    they are packed and counted in the scan's tasks, some at a time.
+    """
+    names = [f"w{i}" for i in range(key_words(k))]
+
+    def counted(words: list[np.ndarray], follows: np.ndarray, leads: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort(words[::-1]) if len(words) > 1 else np.argsort(words[0])
+        words = [w[order] for w in words]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
+        at = np.flatnonzero(new)
+        sums = [np.add.reduceat(x[order].astype(np.int64), at) for x in (follows, leads)]
+        return pa.RecordBatch.from_arrays([*(pa.array(w[at].view(np.int64)) for w in words), *map(pa.array, sums)], [*names, "n_next", "n_last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        made = lambda: counted([np.concatenate(w) for w in zip(*(h[0] for h in held), strict=True)], *(np.concatenate([h[i] for h in held]) for i in (1, 2)))
+        for b in batches:
+            for s in b.column(0):
+                bases = np.frombuffer(s.as_buffer(), np.uint8)
+                last = len(bases) - k
+                for a in range(0, last + 1, WINDOWS):
+                    words = own_windows(CODE[bases[a : a + WINDOWS + k - 1]], k)
+                    at = np.arange(a, a + len(words[0]))
+                    held.append((words, at >= 2, at <= last - 2))
+                    many += len(at)
+                    if many >= WINDOWS:
+                        yield made()
+                        held, many = [], 0
+        if many:
+            yield made()
+
+    rows = reads.filter(F.length("s") >= k + 2).select("s")
+    partials = rows.mapInArrow(run, ", ".join([*(f"{n} bigint" for n in names), "n_next bigint", "n_last bigint"]))
+    found = partials.filter("n_next + n_last > 0").groupBy(*names).agg(F.sum("n_next").alias("n_next"), F.sum("n_last").alias("n_last"))
+    return found.select(kmer_of([F.col(n) for n in names], k).alias("kmer"), "n_next", "n_last")
+
+
 def packed_counts(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
     """(w0, cnt) or (w0, w1, cnt): counts of canonical windows; keys of a word or two and counts are all that is shuffled."""
     return _summed(packed_partials(reads, k, trim))

@@ -112,12 +112,7 @@ e as (select substr(s,i::int,{K}) km, substr(s,i::int-1,1) b, substr(s,i::int+{K
 n as (select substr(km,2)||f kmer, 1 a, 0 z from e union all select b||substr(km,1,{K - 1}), 0, 1 from e)
 select kmer, sum(a)::bigint n_next, sum(z)::bigint n_last from n group by kmer""")
 def q_next_prev_kmer(spark, sf_dir):
-    n = F.length("s")
-    # places are exploded and windows cut behind that, in generated code
-    w = reads(spark, sf_dir).filter(n >= K + 2).select("s", F.explode(F.sequence(F.lit(1), n - K - 1)).alias("i")).select(F.substring("s", F.col("i"), F.lit(K + 2)).alias("x"))
-    km, b, f = F.substring("x", 2, K), F.substring("x", 1, 1), F.substring("x", K + 2, 1)
-    both = w.select(F.explode(F.array(F.struct(bases.forward(km, f).alias("kmer"), F.lit(1).alias("a"), F.lit(0).alias("z")), F.struct(bases.backward(km, b).alias("kmer"), F.lit(0).alias("a"), F.lit(1).alias("z")))).alias("e"))
-    return both.groupBy(F.col("e.kmer").alias("kmer")).agg(F.sum("e.a").cast("long").alias("n_next"), F.sum("e.z").cast("long").alias("n_last"))
+    return kmers.sides(reads(spark, sf_dir))
 
 
 @query(f"with {COUNTS} select kmer, list_reduce(list_transform(string_split(rpad(translate(kmer,'ACGT','0123'),12,'0'),''), lambda x: x::bigint), lambda a, x: a*4+x)::bigint packed from c where cnt >= 2")

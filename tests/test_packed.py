@@ -73,6 +73,22 @@ def test_packed_counts(spark, k, monkeypatch):
     assert {r.kmer: r.cnt for r in kmers.counts(df, k).collect()} == want
 
 
+@pytest.mark.parametrize("k", [3, 32, 40])
+def test_sides_and_extremes(spark, k):
+    """Against plain loops, and no window leaves the scan's tasks as a text."""
+    rng = random.Random(k)
+    reads = ["", "A", None, *("".join(rng.choices("ACGT", k=rng.randrange(1, 120))) for _ in range(80)), "G" + "A" * 80, *("ACGTA" * 16)[: k + 3].split(), "T" * (k + 2)]
+    df = spark.createDataFrame(list(enumerate(reads)), "i long, s string")
+    after, ahead = Counter(), Counter()
+    for r in reads:
+        for i in range(1, len(r or "") - k):
+            after[r[i + 1 : i + 1 + k]] += 1
+            ahead[r[i - 1 : i - 1 + k]] += 1
+    found = kmers.sides(df, k)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.kmer: (r.n_next, r.n_last) for r in found.collect()} == {x: (after[x], ahead[x]) for x in after.keys() | ahead.keys()}
+
+
 def test_long_reads_go_by_parts():
     """A read over one part's windows has every window once."""
     import pyarrow as pa
