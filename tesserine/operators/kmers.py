@@ -162,6 +162,30 @@ def sides(reads: DataFrame, k: int = K) -> DataFrame:
     return found.select(kmer_of([F.col(n) for n in names], k).alias("kmer"), "n_next", "n_last")
 
 
+def extremes(reads: DataFrame, *keep: str, k: int = K) -> DataFrame:
+    """(keep, n, first_kmer, last_kmer): how many windows each read of k bases or more has, the first and the last of them in order; k is 32 at most."""
+    if key_words(k) > 1:
+        raise ValueError("one word holds 32 bases")
+    rows = reads.filter(F.length("s") >= k).select(*keep, "s")
+    kinds = [f"c{i} {t}" for i, (_, t) in enumerate(rows.dtypes[:-1])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros((3, b.num_rows), np.uint64)
+            for i, s in enumerate(b.column(len(keep))):
+                bases = np.frombuffer(s.as_buffer(), np.uint8)
+                n = len(bases) - k + 1
+                ends = []
+                for a in range(0, n, WINDOWS):
+                    words = own_windows(CODE[bases[a : a + WINDOWS + k - 1]], k)[0]
+                    ends += [words.min(), words.max()]
+                out[:, i] = n, min(ends), max(ends)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, out.view(np.int64))], [*(f"c{i}" for i in range(len(keep))), "n", "low", "high"])
+
+    found = rows.mapInArrow(run, ", ".join([*kinds, "n bigint", "low bigint", "high bigint"])).toDF(*keep, "n", "low", "high")
+    return found.select(*keep, "n", kmer_of([F.col("low")], k).alias("first_kmer"), kmer_of([F.col("high")], k).alias("last_kmer"))
+
+
 def packed_counts(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
     """(w0, cnt) or (w0, w1, cnt): counts of canonical windows; keys of a word or two and counts are all that is shuffled."""
     return _summed(packed_partials(reads, k, trim))

@@ -81,8 +81,7 @@ def q_kmer_key_canonical(spark, sf_dir):
 
 @query(f"with {READS}, w as (select doc_id, unnest(list_transform(range(1, length(s)-{K}+2), lambda i: substr(s,i::int,{K}))) km from r where length(s) >= {K}) select doc_id, count(*)::bigint n, min(km) first_kmer, max(km) last_kmer from w group by doc_id")
 def q_kmer_explode(spark, sf_dir):
-    w = bases.windows(F.col("s"))
-    return reads(spark, sf_dir).filter(F.length("s") >= K).select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.array_min("w").alias("first_kmer"), F.array_max("w").alias("last_kmer"))
+    return kmers.extremes(reads(spark, sf_dir), "doc_id")
 
 
 @query(f"with {READS} select doc_id, s from r")

@@ -87,6 +87,12 @@ def test_sides_and_extremes(spark, k):
     found = kmers.sides(df, k)
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.kmer: (r.n_next, r.n_last) for r in found.collect()} == {x: (after[x], ahead[x]) for x in after.keys() | ahead.keys()}
+    if k > 32:
+        with pytest.raises(ValueError, match="32 bases"):
+            kmers.extremes(df, "i", k=k)
+        return
+    every = {i: [r[j : j + k] for j in range(len(r) - k + 1)] for i, r in enumerate(reads) if r and len(r) >= k}
+    assert {r.i: (r.n, r.first_kmer, r.last_kmer) for r in kmers.extremes(df, "i", k=k).collect()} == {i: (len(w), min(w), max(w)) for i, w in every.items()}
 
 
 def test_long_reads_go_by_parts():
