@@ -137,8 +137,8 @@ def q_stream_table(spark, sf_dir):
     """Each customer's first order, from a stream of writes with state for each key."""
     rows = counters.files(spark, f"{sf_dir}/orders.parquet").filter("o_custkey is not null")
     stamp = F.concat(F.date_format("o_orderdate", "yyyyMMddHHmmss.SSSSSS"), F.lpad(F.col("o_orderkey").cast("string"), 20, "0"))
-    writes = rows.select(F.col("o_custkey").alias("key"), F.lit(None).cast("long").alias("ask"), stamp.alias("stamp"), F.col("o_orderkey").alias("value"))
-    return keyed.table(keyed.run(writes, -1)).select(F.col("key").alias("o_custkey"), F.col("value").alias("first_order"))
+    writes = rows.select(F.col("o_custkey").alias("key"), stamp.alias("stamp"), F.col("o_orderkey").alias("value"))
+    return keyed.table(keyed.written(writes)).select(F.col("key").alias("o_custkey"), F.col("value").alias("first_order"))
 
 
 @query("""with w as (select max(ts) - interval 2 hour as mark from events)

@@ -94,6 +94,29 @@ def run(rows: DataFrame, default: Any, out: str | None = None, checkpoint: str |
     return spark.read.schema(f"{schema}, batch int").parquet(out).select("key", "ask", "stamp", "value")
 
 
+def written(rows: DataFrame, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """The same for a stream of writes alone (key, stamp, value): (key, ask, stamp, value) of the keys that each batch wrote to.
+
+    Nothing is answered here, so the first write of a key is an aggregate, whose
+    state Spark keeps itself: no key is handed to Python, as `run` does with each.
+    """
+    spark = rows.sparkSession
+    out, checkpoint = out or shared_path(spark, "table"), checkpoint or shared_path(spark, "table-state")
+    first = rows.groupBy("key").agg(F.min(F.struct("stamp", "value")).alias("first"))
+    found = first.select("key", F.lit(None).cast("long").alias("ask"), "first.stamp", "first.value")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    with stored_state(spark):
+        query = found.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(keep).start()
+        query.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], found.schema)
+    return spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in found.dtypes)}, batch int").parquet(out).select("key", "ask", "stamp", "value")
+
+
 def table(changes: DataFrame) -> DataFrame:
     """(key, value): the table after the last batch."""
     return changes.filter("ask is null").groupBy("key").agg(F.min_by("value", "stamp").alias("value"))

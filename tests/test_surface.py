@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesserine.functions import bases, text
 from tesserine.operators import calls, chains, kmers, logs, matrices, sketches, tables
 from tesserine.sources import files, sinks
-from tesserine.streaming import counters
+from tesserine.streaming import counters, keyed
 
 
 def lines_of(path):
@@ -211,3 +211,16 @@ def test_text_helpers(spark):
     row = spark.range(1).select(text.replaced(F.lit("aXbX"), "X", "--"), text.micros(F.lit(1500)), text.millis(F.lit(2_000_000)), text.seconds(F.lit(10**9))).first()
     assert tuple(row) == ("a--b--", 1.5, 2.0, 1.0)
     assert spark.range(1).select(text.perc_str(F.lit(1), F.lit(8))).first()[0] == "1 (12.50%)"
+
+
+def test_stream_of_writes_alone(spark, tmp_path):
+    """Keys written to in several batches; an earlier stamp that comes later wins."""
+    parts = [[(1, "b", 10), (2, "a", 20)], [(1, "a", 11), (3, "c", None)], [(2, "b", 21), (1, "c", 12)]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "key long, stamp string, value long").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("key long, stamp string, value long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    checkpoint, out = str(tmp_path / "_state"), str(tmp_path / "_out")
+    found = keyed.written(stream, checkpoint, out)
+    assert {r.key: r.value for r in keyed.table(found).collect()} == {1: 11, 2: 20, 3: None}
+    # nothing new: it goes on from its checkpoint and puts nothing out again
+    assert keyed.written(stream, checkpoint, out).count() == found.count() == 6
