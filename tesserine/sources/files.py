@@ -18,9 +18,12 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("order"), F.col("value").alias("line"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = raw.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("order")) - 1
-    return raw.withColumn("own", own).join(base, ["file", "block"]).select("file", (F.col("base") + F.col("own")).alias("at"), "line")
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("order").alias("first"))
+    base = F.broadcast(blocks.select("file", "block", "n", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))  # a row for each split
+    # a split's lines are read one after the other by one task, so their ids are as well; both passes deal the splits alike, or this is an error
+    own = F.col("order") - F.col("first")
+    own = F.when((own >= 0) & (own < F.col("n")), own).otherwise(F.raise_error(F.lit("splits were dealt in another way")).cast("long"))
+    return raw.join(base, ["file", "block"]).select("file", (F.col("base") + own).alias("at"), "line")
 
 
 def fastq(spark: SparkSession, path: str, split: int | None = None, pairs: bool = False) -> DataFrame:

@@ -167,3 +167,21 @@ def test_parsed_and_faults_by_segments(spark, segment):
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
     assert logs.faults(df, segment).first()[0] == faults
     assert logs.faults(df.filter(F.lit(False)), segment).first()[0] == 0
+
+
+def test_lines_are_numbered_without_a_window_of_a_split(spark, tmp_path):
+    """Several files of several splits each; no window and no sort has a split's lines."""
+    want = set()
+    for f in "abc":
+        lines = [f"{f}{i}" for i in range(20_000)]
+        (tmp_path / f).write_text("".join(x + "\n" for x in lines))
+        want |= {(f, i, x) for i, x in enumerate(lines)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        found = files.numbered(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in plan and plan.count("Window") == 1
+        assert {(r.file.rsplit("/", 1)[-1], r["at"], r.line) for r in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
