@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.functions.hashing import mix64, once, unsigned_mod
+from tesserine.functions.hashing import FIRST, LAST, STEPS
 
 
 @dataclass(frozen=True)
@@ -28,14 +29,42 @@ class Size:
         return Size(max(1, math.ceil(n * bits / 64)), math.ceil(math.log(2) * bits), chain)
 
 
+def mixed(k: np.ndarray) -> np.ndarray:
+    """hashing.mix64 of numbers of 64 bits, whose sums wrap around."""
+    u = np.uint64
+    k = ~k + (k << u(FIRST))
+    for n, shifts in STEPS:
+        k = k ^ (k >> u(n))
+        k = sum((k << u(m) for m in shifts), k)
+    k = k ^ (k >> u(LAST[0]))
+    return k + (k << u(LAST[1]))
+
+
+def chained(size: Size):
+    """(word, mask) of keys by batches: the mix gives the word, the mix of it the first bit, and so on."""
+
+    @F.pandas_udf("word bigint, mask bigint")
+    def place(keys: pd.Series) -> pd.DataFrame:
+        none = keys.isna().to_numpy()
+        h = mixed(keys.fillna(0).to_numpy(np.int64).view(np.uint64))
+        word, mask = h % np.uint64(size.words), np.zeros(len(h), np.uint64)
+        for _ in range(size.hashes):
+            h = mixed(h)
+            mask |= np.uint64(1) << (h & np.uint64(63))
+        found = pd.DataFrame({"word": word.view(np.int64), "mask": mask.view(np.int64)})
+        if none.any():
+            found = found.astype("Int64")
+            found.loc[none, :] = pd.NA
+        return found
+
+    return place
+
+
 def located(key: Column, size: Size) -> tuple[Column, Column]:
     """(word, mask) of a key."""
     if size.chain:
-        word = mix64(key)
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), unsigned_mod(h, 64).cast("int"))
-        step = lambda a, i: once(mix64(a["h"]), lambda h: F.struct(h.alias("h"), a["mask"].bitwiseOR(bit(h)).alias("mask")))
-        start = F.struct(word.alias("h"), F.lit(0).cast("long").alias("mask"))
-        return unsigned_mod(word, size.words), F.aggregate(F.sequence(F.lit(1), F.lit(size.hashes)), start, step)["mask"]
+        place = chained(size)(key)
+        return place["word"], place["mask"]
     mask = F.lit(0).cast("long")
     for k in range(size.hashes):
         bit = F.pmod(F.shiftrightunsigned(F.xxhash64(key, F.lit(k + 1)), 7), F.lit(64)).cast("int")
@@ -56,8 +85,8 @@ VALUE = 1 << 20
 def as_value(filter_: DataFrame, size: Size) -> Column:
     """The filter's words, in order, as one array: a subquery that runs once, whose result goes with the tasks."""
     every = filter_.sparkSession.range(size.words).join(filter_, F.col("id") == F.col("word"), "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
-    words = F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"])
-    return every.agg(words).scalar()
+    # sort_array compares in generated code, array_sort by a function for each pair; a column of the structs is the array of its values
+    return every.agg(F.sort_array(F.collect_list(F.struct("id", "bits")))["bits"]).scalar()
 
 
 def possible(rows: DataFrame, key: Column, filter_: DataFrame, size: Size, most: int = VALUE) -> DataFrame:

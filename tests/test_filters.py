@@ -164,3 +164,19 @@ def test_unsorted_matrices_are_refused(spark, tmp_path):
         (tmp_path / "b.mtx").write_text(head + body)
         with pytest.raises(Exception, match="entries are not sorted"):
             files.matrix(spark, str(tmp_path / "b.mtx")).collect()
+
+
+def test_chained_places_come_by_batches(spark):
+    """Not by a function for each bit of each row; keys that are null have no place, others in their batch do."""
+    size = sketches.Size(97, 6, chain=True)
+    df = spark.createDataFrame([(None,), (0,), (-1,), (1 << 62,), (5,)], "x long")
+    word, mask = sketches.located(F.col("x"), size)
+    rows = df.select("x", word.alias("w"), mask.alias("m"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "transform(" not in plan
+    got = {r.x: (r.w, r.m) for r in rows.collect()}
+    assert got[None] == (None, None) and len(got) == 5 and all(0 <= w < 97 for x, (w, _) in got.items() if x is not None)
+    plain = df.filter("x is not null").select("x", sketches.located(F.col("x"), size)[1].alias("m"))
+    assert all(got[r.x][1] == r.m for r in plain.collect())
+    held = sketches.as_value(spark.createDataFrame([(2, 7), (0, 5)], "word long, bits long"), sketches.Size(4, 1))
+    assert "lambda" not in spark.range(1).select(held)._jdf.queryExecution().optimizedPlan().toString() and spark.range(1).select(held).first()[0] == [5, 0, 7, 0]
