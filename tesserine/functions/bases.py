@@ -15,7 +15,7 @@ def encoded(s: Column) -> Column:
 
 def read_of(text: Column) -> Column:
     """The letters a, c, g, t, n of a text as an encoded read."""
-    return encoded(F.regexp_replace(F.lower(text), "[^acgtn]", ""))
+    return encoded(F.regexp_replace(F.lower(text), "[^acgtn]+", ""))
 
 
 def revcomp(s: Column) -> Column:

@@ -70,13 +70,14 @@ def packed_canonical_sql(k: int) -> str:
 
 @query(f"with {READS} " + " union all ".join(map(packed_canonical_sql, (13, 31, 51))))
 def q_kmer_key_canonical(spark, sf_dir):
-    """The canonical form of each read's first k-mer, by shifts and masks of its key."""
-    out = None
-    for k in (13, 31, 51):
-        words = bases.canonical_key(bases.key_of(F.substring("s", 1, k), k), k)
-        own = reads(spark, sf_dir).filter(F.length("s") >= k).select(F.lit(k).alias("k"), "doc_id", bases.kmer_of(words, k).alias("canonical"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    """The canonical form of each read's first k-mer, by shifts and masks of its key. Reads are made once, for all widths."""
+    widths = (13, 31, 51)
+    starts = reads(spark, sf_dir).select("doc_id", F.substring("s", 1, max(widths)).alias("s"))
+    # each width in a column of its own: inside a condition words would be written out anew at every use, and the code grow too long to compile
+    least = [bases.kmer_of(bases.canonical_key(bases.key_of(F.substring("s", 1, k), k), k), k).alias(f"c{k}") for k in widths]
+    every = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("canonical")) for k in widths))).alias("x")
+    own = starts.select("doc_id", "s", *least).select("doc_id", F.length("s").alias("n"), every)
+    return own.filter(F.col("n") >= F.col("x.k")).select("x.k", "doc_id", "x.canonical")
 
 
 @query(f"with {READS}, w as (select doc_id, unnest(list_transform(range(1, length(s)-{K}+2), lambda i: substr(s,i::int,{K}))) km from r where length(s) >= {K}) select doc_id, count(*)::bigint n, min(km) first_kmer, max(km) last_kmer from w group by doc_id")

@@ -62,6 +62,19 @@ def test_queries_of_the_least_long(spark, tmp_path):
         assert got and got == sorted(duckdb.sql(SQL[name]).fetchall())
 
 
+def test_canonical_keys_make_reads_once(spark, tmp_path):
+    """q_kmer_key_canonical scans documents once for its widths; reads of every length to 53, the empty one and null too, against a plain loop."""
+    from tesserine.plans import genomics
+
+    rng = random.Random(5)
+    rows = [(i, "x", None if i == 60 else "".join(rng.choices("ACGT", k=i % 54))) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = genomics.q_kmer_key_canonical(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    want = sorted((k, i, canonical(t[:k])) for i, _, t in rows for k in (13, 31, 51) if t and len(t) >= k)
+    assert sorted(map(tuple, found.collect())) == want
+
+
 @pytest.mark.parametrize("k", [3, 32, 40])
 def test_packed_counts(spark, k, monkeypatch):
     rng = random.Random(k)
