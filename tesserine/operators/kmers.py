@@ -40,6 +40,8 @@ def _canonical(reads: DataFrame, k: int, trim: int = 1, keep: tuple[str, ...] =
 
 #: Windows that a task packs and counts at once.
 WINDOWS = 1 << 20
+#: Share of distinct windows above which counts are passed on at once.
+OFTEN = 0.75
 
 
 def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
@@ -90,18 +92,45 @@ def packed_windows(codes: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def packed_partials(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
-    """(w0, n) or (w0, w1, n): canonical windows with keys of one or two longs (see kmer_of), packed and counted in the scan's tasks, some at a time; a key may come several times."""
+    """(w0, n) or (w0, w1, n): canonical windows with keys of one or two longs (see kmer_of), packed and counted in the scan's tasks, some at a time; a key may come several times.
+
+    Counts of windows that often recur are kept and added up, so a task gives few
+    rows however long its reads are; where most windows are new, nothing is kept.
+    """
     names = [f"w{i}" for i in range(key_words(k))]
 
-    def counted(words: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(words: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
         order = np.lexsort(words[::-1]) if len(words) > 1 else np.argsort(words[0])
         words = [w[order] for w in words]
         new = np.ones(len(order), bool)
         new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
         at = np.flatnonzero(new)
-        return pa.RecordBatch.from_arrays([*(pa.array(w[at].view(np.int64)) for w in words), pa.array(np.diff(at, append=len(order)))], [*names, "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return [w[at] for w in words], np.diff(at, append=len(order)) if n is None else np.add.reduceat(n[order], at)
+
+    def given(found: tuple[list[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words, n = found
+        for a in range(0, len(n), WINDOWS):
+            yield pa.RecordBatch.from_arrays([*(pa.array(w[a : a + WINDOWS].view(np.int64)) for w in words), pa.array(n[a : a + WINDOWS])], [*names, "n"])
+
+    def added_up(parts: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        kept, rows = [], 0
+        for windows in parts:
+            found = counted(windows)
+            if len(found[1]) > OFTEN * len(windows[0]):
+                yield from given(found)
+                continue
+            kept.append(found)
+            rows += len(found[1])
+            if rows > 2 * WINDOWS:
+                kept = [counted([np.concatenate(w) for w in zip(*(f[0] for f in kept), strict=True)], np.concatenate([f[1] for f in kept]))]
+                rows = len(kept[0][1])
+                if rows > WINDOWS:
+                    yield from given(kept[0])
+                    kept, rows = [], 0
+        if kept:
+            yield from given(counted([np.concatenate(w) for w in zip(*(f[0] for f in kept), strict=True)], np.concatenate([f[1] for f in kept])))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         held, many = [], 0
         for b in batches:
             for s in b.column(0):
@@ -112,13 +141,13 @@ def packed_partials(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
                     held.append(packed_windows(CODE[part], k))
                     many += len(held[-1][0])
                     if many >= WINDOWS:
-                        yield counted([np.concatenate(w) for w in zip(*held, strict=True)])
+                        yield [np.concatenate(w) for w in zip(*held, strict=True)]
                         held, many = [], 0
         if many:
-            yield counted([np.concatenate(w) for w in zip(*held, strict=True)])
+            yield [np.concatenate(w) for w in zip(*held, strict=True)]
 
     rows = reads.filter(F.length("s") >= k + 2 * trim).select("s")
-    return rows.mapInArrow(run, ", ".join([*(f"{n} bigint" for n in names), "n bigint"]))
+    return rows.mapInArrow(lambda batches: added_up(parts(batches)), ", ".join([*(f"{n} bigint" for n in names), "n bigint"]))
 
 
 def sides(reads: DataFrame, k: int = K) -> DataFrame:
@@ -188,10 +217,10 @@ def extremes(reads: DataFrame, *keep: str, k: int = K) -> DataFrame:
 
 def packed_counts(reads: DataFrame, k: int = K, trim: int = 1) -> DataFrame:
     """(w0, cnt) or (w0, w1, cnt): counts of canonical windows; keys of a word or two and counts are all that is shuffled."""
-    return _summed(packed_partials(reads, k, trim))
+    return summed(packed_partials(reads, k, trim))
 
 
-def _summed(partials: DataFrame) -> DataFrame:
+def summed(partials: DataFrame) -> DataFrame:
     return partials.groupBy(*partials.columns[:-1]).agg(F.sum("n").alias("cnt"))
 
 
@@ -203,12 +232,16 @@ def repeats_only(reads: DataFrame, k: int = K, error: float = 0.05) -> DataFrame
     hold. Every k-mer that occurs twice is counted in full; of the others about
     `error` are let through by chance.
     """
-    partials = stored(packed_partials(reads, k), "kmers")
+    return repeats_of(stored(packed_partials(reads, k), "kmers"), error)
+
+
+def repeats_of(partials: DataFrame, error: float = 0.05) -> DataFrame:
+    """repeats_only of partial counts that are stored, as they are read twice and more."""
     size = sketches.Size.of(max(1, partials.count()), error)
     key = F.xxhash64(*partials.columns[:-1])
     again = sketches.added(partials, key, size).filter("seen or n > 1")
     repeats = stored(sketches.built(again, key, size), "repeats")
-    return _summed(sketches.possible(partials, key, repeats, size))
+    return summed(sketches.possible(partials, key, repeats, size))
 
 
 def unpacked_counts(counts: DataFrame, k: int) -> DataFrame:

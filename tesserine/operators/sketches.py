@@ -111,25 +111,38 @@ def added(rows: DataFrame, key: Column, size: Size, *order: str) -> DataFrame:
     n = len(rows.columns)
     plain = rows.toDF(*(f"c{i}" for i in range(n)))
 
+    def spans(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)) if len(part) else []
+        for i, j in zip([0, *ends[:-1]], ends, strict=True):
+            yield int(part[i]), int(i), int(j)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
         for b in batches:
             word, mask = (b.column(n + i).to_numpy(zero_copy_only=False) for i in range(2))
             mask = mask.view(np.uint64)
-            # of equal keys in a batch, all but the first one are seen
-            _, first, same = np.unique(np.stack([word, mask.view(np.int64)], 1), axis=0, return_index=True, return_inverse=True)
-            seen = np.ones(len(word), bool)
-            left = np.sort(first)
-            while len(left):  # the first key of each word, then the second, and so on
-                _, turn = np.unique(word[left], return_index=True)
-                now = left[turn]
-                for part in np.unique(word[now] // each):
-                    filter_ = parts.setdefault(int(part), np.zeros(each, np.uint64))
-                    own = now[word[now] // each == part]
-                    at = word[own] % each
-                    seen[own] = filter_[at] & mask[own] == mask[own]
-                    filter_[at] |= mask[own]
-                left = np.delete(left, turn)
+            # by word, then in order; before: the bits that a word has before each of its keys
+            order = np.argsort(word, kind="stable")
+            word, mask = word[order], mask[order]
+            first = np.ones(len(word), bool)
+            first[1:] = word[1:] != word[:-1]
+            at = np.flatnonzero(first)
+            turn = np.arange(len(word)) - np.repeat(at, np.diff(at, append=len(word)))
+            before = np.where(first, np.uint64(0), np.roll(mask, 1))
+            last = np.append(at[1:], len(word)) - 1
+            for part, i, j in spans(word[at] // each):
+                own = word[at[i:j]] % each
+                filter_ = parts.setdefault(part, np.zeros(each, np.uint64))
+                before[at[i:j]] = filter_[own]
+            step = 1
+            while step <= turn.max(initial=0):  # doubled: those of `step` keys, then of twice as many
+                later = np.flatnonzero(turn >= step)
+                before[later] |= before[later - step]
+                step *= 2
+            for part, i, j in spans(word[at] // each):
+                parts[part][word[at[i:j]] % each] = before[last[i:j]] | mask[last[i:j]]
+            seen = np.empty(len(word), bool)
+            seen[order] = before & mask == mask
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(seen)], [*(f"c{i}" for i in range(n)), "seen"])
 
     dealt = rows.select(*rows.columns, word.alias("_word"), mask.alias("_mask")).repartition(deal, F.expr(f"_word div {each}"))

@@ -58,7 +58,8 @@ def q_kmer_two_pass(spark, sf_dir):
 def q_kmer_two_pass_error(spark, sf_dir):
     """Repeated k-mers, those that the two filters let through, and whether few that occur once came with them."""
     error, n = 0.05, F.col("cnt")
-    met = kmers.repeats_only(reads(spark, sf_dir), error=error).select("cnt", F.lit(1).alias("met")).unionByName(kmers.packed_counts(reads(spark, sf_dir)).select("cnt", F.lit(0).alias("met")))
+    partials = stored(kmers.packed_partials(reads(spark, sf_dir)), "kmers")
+    met = kmers.repeats_of(partials, error).select("cnt", F.lit(1).alias("met")).unionByName(kmers.summed(partials).select("cnt", F.lit(0).alias("met")))
     count = lambda test: F.count_if(test)
     few = count((n == 1) & (F.col("met") == 1)) <= F.greatest(F.lit(3), count((n == 1) & (F.col("met") == 0)) * 2 * error)
     return met.agg(count((n >= 2) & (F.col("met") == 0)).alias("repeats"), count((n >= 2) & (F.col("met") == 1)).alias("counted"), few.alias("few_admitted"))

@@ -137,6 +137,33 @@ def test_long_reads_go_by_parts():
     assert got == whole and len(batches) > 10
 
 
+def test_recurring_windows_are_added_up(spark, monkeypatch):
+    """A task gives a row for each k-mer that recurs, not one for each WINDOWS windows; of more k-mers than it keeps it gives some, and loses none."""
+    import pyarrow as pa
+
+    class Frame:
+        def filter(self, _):
+            return self
+
+        def select(self, _):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return list(run(iter([pa.RecordBatch.from_arrays([pa.array([read])], ["s"])])))
+
+    monkeypatch.setattr(kmers, "WINDOWS", 64)
+    rng = random.Random(2)
+    some = ["".join(rng.choices("ACGT", k=8)) for _ in range(40)]
+    for read, most in (("ACGTA" * 400, 10), ("".join(x * 20 for x in some), 10**6)):
+        whole = Counter(canonical(read[i : i + 5]) for i in range(1, len(read) - 5))
+        got, rows = Counter(), 0
+        for b in kmers.packed_partials(Frame(), 5):
+            rows += b.num_rows
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got["".join("ACGT"[w >> 2 * j & 3] for j in reversed(range(5)))] += n
+        assert got == whole and rows <= most
+
+
 def shuffled(df, metric):
     """A metric of all exchanges of df's plan, once it has run."""
     df._jdf.collectToPython()
