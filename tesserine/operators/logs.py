@@ -4,7 +4,8 @@
 `graph` and `linear` take any list of patterns: a small machine reads lines in
 order, with the record in hand as its only state.
 
-A file of any length is read by many tasks: it is cut into segments of `segment`
+A file of up to `segment` lines is read by one run of the machine. A longer one, of
+any length, is read by many tasks: it is cut into segments of `segment`
 places. A segment is run once for each state in which the machine may enter it,
 where what the record in hand holds already is not known and stands as numbered
 gaps; runs that come to the same state without gaps go on as one, which after a
@@ -32,6 +33,8 @@ VALUE = r"^total time (\S+) s$"
 
 #: Places of a file that a task reads together: lines, or bytes where lines are placed by offset.
 SEGMENT = 100_000
+#: The entry of a file that is read as one: the machine's first state.
+FIRST = (0,)
 
 
 def carried(lines: DataFrame, value: Column, segment: int = SEGMENT) -> DataFrame:
@@ -263,13 +266,14 @@ def machined(lines: DataFrame, make: Callable, labels: list[str], segment: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, machine, rows, file_type = None, None, [], pa.null()
+        whole = make()
 
         def made() -> pa.RecordBatch:
             types = [file_type, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         def ended() -> None:
-            if machine:
+            if machine and now[1] is not None:
                 rows.extend((*now, entry, None, state, *split(data)) for entry, state, data in machine.exits())
 
         for b in batches:
@@ -277,8 +281,13 @@ def machined(lines: DataFrame, make: Callable, labels: list[str], segment: int =
             for file, seg, at, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (file, seg) != now:
                     ended()
-                    now, machine = (file, seg), Segment(make)
-                for entries, got in machine.feed(line or ""):
+                    now = file, seg
+                    if seg is None:
+                        whole.enter(0, [])
+                        machine = whole
+                    else:
+                        machine = Segment(make)
+                for entries, got in ((FIRST, x) for x in whole.feed(line or "")) if seg is None else machine.feed(line or ""):
                     rows.append((*now, at, entries, None, *split([got.get(x) for x in labels])))
             if len(rows) > 5000:
                 yield made()
@@ -304,14 +313,19 @@ def machined(lines: DataFrame, make: Callable, labels: list[str], segment: int =
                 types = [b.column(0).type, pa.int64(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["f", "s", "entry", "data"])
 
-    ordered = lines.select("file", F.expr(f"at div {segment}").alias("segment"), F.col("at").cast("long").alias("at"), "line").repartition("file", "segment").sortWithinPartitions("file", "segment", "at")
+    # at most a row for each `segment` lines, whatever the number of files
+    long = F.broadcast(lines.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") > segment).select(F.col("file").alias("long"), F.lit(True).alias("cut")))
+    marked = lines.join(long, F.col("file").eqNullSafe(F.col("long")), "left")
+    ordered = marked.select("file", F.when(F.col("cut"), F.expr(f"at div {segment}")).alias("segment"), F.col("at").cast("long").alias("at"), "line").repartition("file", "segment").sortWithinPartitions("file", "segment", "at")
     found = stored(ordered.mapInArrow(run, f"file {kind}, segment bigint, at bigint, entries array<int>, state int, texts array<string>, gaps array<int>"), "segments")
     exits = found.filter("state is not null").select("file", "segment", "at", "state", "texts", "gaps").repartition("file").sortWithinPartitions("file", "segment", "at")
     entry = exits.mapInArrow(prefix, f"f {kind}, s bigint, entry int, data array<string>")
-    rows = found.filter("state is null").join(entry, F.col("file").eqNullSafe(F.col("f")) & (F.col("segment") == F.col("s")))
+    given = found.filter("state is null")
+    rows = given.filter("segment is not null").join(entry, F.col("file").eqNullSafe(F.col("f")) & (F.col("segment") == F.col("s")))
     rows = rows.filter(F.array_contains("entries", F.col("entry")))
     value = lambda k: F.when(F.get("gaps", F.lit(k)) < 0, F.get("texts", F.lit(k))).otherwise(F.get("data", F.get("gaps", F.lit(k))))
-    return rows.select("file", "at", *(value(k).alias(x) for k, x in enumerate(labels)))
+    short = given.filter("segment is null").select("file", "at", *(F.get("texts", F.lit(k)).alias(x) for k, x in enumerate(labels)))
+    return short.unionByName(rows.select("file", "at", *(value(k).alias(x) for k, x in enumerate(labels))))
 
 
 def graph(lines: DataFrame, root: Node, segment: int = SEGMENT) -> DataFrame:

@@ -185,3 +185,23 @@ def test_lines_are_numbered_without_a_window_of_a_split(spark, tmp_path):
         assert {(r.file.rsplit("/", 1)[-1], r["at"], r.line) for r in found.collect()} == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_short_files_are_one_run(spark, monkeypatch):
+    """Files of up to `segment` lines, however far apart these stand, are not entered in every state; longer ones are cut as before, with the same rows."""
+    from tesserine.operators import logs
+
+    held, plain = [], logs.stored
+    monkeypatch.setattr(logs, "stored", lambda df, label: held.append(plain(df, label)) or held[-1])
+    tree = logs.Node([r"a (\d+)"], ["x"], [logs.Node([r"b (\d+)"], ["y"]), logs.Node([r"c (\d+)", r"d (\d+)"], ["y", "z"])])
+    lines = []
+    for file in (None, "p", "q", "long"):
+        for i in range(300 if file == "long" else 9):
+            lines += [(file, 1000 * i + j, f"{x} {i}") for j, x in enumerate("acd" if i % 2 else "ab")]
+    want = sorted(((f or "", at) for f, at, x in lines if x[0] in "bd"))
+    df = spark.createDataFrame(lines, "file string, at long, line string").repartition(4)
+    rows = logs.graph(df, tree, segment=100).collect()
+    assert sorted((r.file or "", r.at) for r in rows) == want
+    assert all(r.x == r.y == str(r.at // 1000) and r.z == (r.x if int(r.x) % 2 else None) for r in rows)
+    exits = {r.file for r in held[0].filter("state is not null").select("file").distinct().collect()}
+    assert exits == {"long"}
