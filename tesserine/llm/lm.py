@@ -200,7 +200,7 @@ def count(learned: DataFrame, own: Sent, buckets: int) -> DataFrame:
             rows = []
             for k, mine in dealt((words % np.uint64(buckets)).astype(np.int64), buckets):
                 at = spans(first[mine], n[mine])
-                rows.append((k, pickle.dumps((words[mine], n[mine].astype(np.uint32), code[at].astype(np.uint16), c[at].astype(np.uint32)), 5)))
+                rows.append((k, pickle.dumps((words[mine], least_wide(n[mine]), code[at].astype(np.uint16), least_wide(c[at])), 5)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
     return learned.mapInArrow(run, "bucket int, data binary")
@@ -241,6 +241,21 @@ class Seats:
         return self.alone + np.bincount(of, self.tables, len(self.words)).astype(np.int64)
 
 
+def frozen(s: Seats) -> bytes:
+    """Seats in few bytes, so that the rows that pass through Java are small: most numbers are 0 or 1."""
+    state = {k: least_wide(v) if isinstance(v, np.ndarray) else v for k, v in vars(s).items()}
+    raw = pickle.dumps(state | {"samples": [tuple(map(least_wide, x)) for x in s.samples]}, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "lz4", asbytes=True)
+
+
+def thawed(data: bytes | pa.Buffer) -> Seats:
+    data = memoryview(data)
+    s = Seats(**pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "lz4")))
+    s.words, s.context, s.tokens = s.words.astype(np.uint64), s.context.astype(np.uint16), narrow(s.tokens)
+    s.count, s.alone, s.pairs, s.tables, s.parent_tables = (x.astype(np.int64) for x in (s.count, s.alone, s.pairs, s.tables, s.parent_tables))
+    return s
+
+
 def seated(group: list[bytes], frequent: int, contexts: int = CONTEXTS) -> tuple[list[Seats], dict]:
     """Counts of one bucket to its first seating, one table a pair: (main, then a part for each frequent word), and what the totals need."""
     parts = [pickle.loads(x) for x in group]
@@ -379,7 +394,7 @@ def state_of(learned: DataFrame, own: Sent, buckets: int, share: float, least: i
     def merge(group: pa.Table, frequent: int = 0) -> pa.Table:
         seats, sums = seated(group.column("data").to_pylist(), frequent)
         b = group.column("bucket")[0].as_py()
-        return pa.table({"bucket": pa.array([b] * len(seats), pa.int32()), "part": pa.array(range(len(seats)), pa.int32()), "data": pa.array([pickle.dumps(vars(s), 5) for s in seats], pa.binary()), "sums": pa.array([pickle.dumps(sums, 5)] + [None] * (len(seats) - 1), pa.binary())})
+        return pa.table({"bucket": pa.array([b] * len(seats), pa.int32()), "part": pa.array(range(len(seats)), pa.int32()), "data": pa.array([frozen(s) for s in seats], pa.binary()), "sums": pa.array([pickle.dumps(sums, 5)] + [None] * (len(seats) - 1), pa.binary())})
 
     # tokens of the whole text set the size of a bucket; the count is a bound, words and ends are at most its characters and rows
     chars = learned.select(F.sum(F.coalesce(F.length("t"), F.lit(0)) + 1)).first()[0] or 0
@@ -418,14 +433,14 @@ def swept(seats: DataFrame, totals: Totals, sample: bool, seed: int) -> tuple[Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                s = Seats(**pickle.loads(data.as_buffer()))
+                s = thawed(data.as_buffer())
                 tables, parents, c = s.tables.copy(), int(s.parent_tables.sum()), int(s.customers().sum())
                 s = sweep(s, sent.value, sample, seed)
                 trimmed()
                 change = np.bincount(s.context, s.tables - tables, contexts).astype(np.int64)
                 at = np.flatnonzero(change)
                 more = pickle.dumps((at.astype(np.uint32), change[at], int(s.customers().sum()) - c, int(s.parent_tables.sum()) - parents), 5)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([pickle.dumps(vars(s), 5)], pa.binary()), pa.array([more], pa.binary())], ["bucket", "part", "data", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([frozen(s)], pa.binary()), pa.array([more], pa.binary())], ["bucket", "part", "data", "more"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(contexts + 2, np.int64)  # tables of each context, then customers and tables of the parent
@@ -549,7 +564,7 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
     def word_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                s = Seats(**pickle.loads(data.as_buffer()))
+                s = thawed(data.as_buffer())
                 yield pa.RecordBatch.from_arrays([pa.array([int(s.words[0].view(np.int64))]), pa.array([int(s.count[0])])], ["w", "n"])
 
     # frequent words hold more than a share of a bucket each, so there are at most a few for each bucket
@@ -583,7 +598,7 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ways = 1 if part == 0 else sent.value[1][int(pickle.loads(data.as_buffer())["words"][0])]
+                ways = 1 if part == 0 else sent.value[1][int(thawed(data.as_buffer()).words[0])]
                 to = [(bucket % buckets + k) % buckets for k in range(ways)]
                 for k in to:
                     yield pa.RecordBatch.from_arrays([pa.array([keys_of[k]], pa.int32()), pa.array([1 if part == 0 else 3], pa.int32()), pa.array([bucket // buckets], pa.int64()), pa.array([data.as_py()], pa.binary())], ["bucket", "what", "number", "data"])
@@ -604,9 +619,9 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
             main, frequent = Seats(empty.astype(np.uint64), *[empty] * 9, [(empty, empty, empty)] * len(kept_totals)), []
             for what, number, data in rows:
                 if what == 1 and number == part:
-                    main = Seats(**pickle.loads(data.as_buffer()))
+                    main = thawed(data.as_buffer())
                 elif what == 3 and number == part:
-                    frequent.append(Seats(**pickle.loads(data.as_buffer())))
+                    frequent.append(thawed(data.as_buffer()))
             if shares[part]:
                 for number, some in bucket_scores(shares[part], [main, *frequent], kept_totals, CONTEXTS):
                     top, held = some.shape[1], sums.get(number)

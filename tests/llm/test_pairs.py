@@ -785,3 +785,15 @@ def test_pipeline_keeps_one_of_each(spark, sf_dir):
     kept = corpus_pipeline.line_dedup(spark, docs, sf_dir).collect()
     assert sum(text in r.text for r in kept) == 1
     assert corpus_pipeline.ngram_jaccard_join(spark, docs.union(docs.withColumn("doc_id", F.col("doc_id") + 10)), sf_dir).count() <= 6
+
+
+def test_seats_in_few_bytes():
+    """Seats come back as they were, kinds of numbers too, from rows under half as long."""
+    rng = np.random.default_rng(1)
+    one, few = np.ones(6000, np.int64), np.ones(2000, np.int64)
+    s = lm.Seats(rng.integers(0, 1 << 63, 2000).astype(np.uint64), 2 * few, 0 * few, 3 * few, rng.integers(0, 1 << 16, 6000).astype(np.uint16), (2 * one).astype(np.uint32), one, {}, few, {}, [(one, few, few)])
+    data = lm.frozen(s)
+    assert len(data) < 100_000
+    for k, v in vars(lm.thawed(data)).items():
+        if isinstance(v, np.ndarray):
+            assert v.dtype == getattr(s, k).dtype and (v == getattr(s, k)).all()
