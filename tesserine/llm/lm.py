@@ -211,6 +211,25 @@ def least_wide(n: np.ndarray) -> np.ndarray:
     return n.astype(np.min_scalar_type(n.max(initial=0)))
 
 
+def packed(value) -> bytes:
+    """A value in few bytes."""
+    raw = pickle.dumps(value, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "lz4", asbytes=True)
+
+
+def unpacked(data: bytes | pa.Buffer):
+    data = memoryview(data)
+    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "lz4"))
+
+
+def sparse(n: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, numbers) of what is not 0; a bucket knows few of all contexts."""
+    n = np.atleast_1d(n)
+    at = np.flatnonzero(n)
+    kind = np.result_type(*map(np.min_scalar_type, (n.min(initial=0), n.max(initial=0))))
+    return least_wide(at), n[at].astype(kind if kind.itemsize < 8 else np.int64)
+
+
 def narrow(n: np.ndarray) -> np.ndarray:
     """Counts in 32 bits where they fit."""
     return n.astype(np.uint32 if not len(n) or n.max() < 1 << 32 else np.int64)
@@ -244,13 +263,11 @@ class Seats:
 def frozen(s: Seats) -> bytes:
     """Seats in few bytes, so that the rows that pass through Java are small: most numbers are 0 or 1."""
     state = {k: least_wide(v) if isinstance(v, np.ndarray) else v for k, v in vars(s).items()}
-    raw = pickle.dumps(state | {"samples": [tuple(map(least_wide, x)) for x in s.samples]}, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "lz4", asbytes=True)
+    return packed(state | {"samples": [tuple(map(least_wide, x)) for x in s.samples]})
 
 
 def thawed(data: bytes | pa.Buffer) -> Seats:
-    data = memoryview(data)
-    s = Seats(**pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "lz4")))
+    s = Seats(**unpacked(data))
     s.words, s.context, s.tokens = s.words.astype(np.uint64), s.context.astype(np.uint16), narrow(s.tokens)
     s.count, s.alone, s.pairs, s.tables, s.parent_tables = (x.astype(np.int64) for x in (s.count, s.alone, s.pairs, s.tables, s.parent_tables))
     return s
@@ -394,22 +411,21 @@ def state_of(learned: DataFrame, own: Sent, buckets: int, share: float, least: i
     def merge(group: pa.Table, frequent: int = 0) -> pa.Table:
         seats, sums = seated(group.column("data").to_pylist(), frequent)
         b = group.column("bucket")[0].as_py()
-        return pa.table({"bucket": pa.array([b] * len(seats), pa.int32()), "part": pa.array(range(len(seats)), pa.int32()), "data": pa.array([frozen(s) for s in seats], pa.binary()), "sums": pa.array([pickle.dumps(sums, 5)] + [None] * (len(seats) - 1), pa.binary())})
+        return pa.table({"bucket": pa.array([b] * len(seats), pa.int32()), "part": pa.array(range(len(seats)), pa.int32()), "data": pa.array([frozen(s) for s in seats], pa.binary()), "sums": pa.array([packed({k: sparse(v) for k, v in sums.items()})] + [None] * (len(seats) - 1), pa.binary())})
 
     # tokens of the whole text set the size of a bucket; the count is a bound, words and ends are at most its characters and rows
     chars = learned.select(F.sum(F.coalesce(F.length("t"), F.lit(0)) + 1)).first()[0] or 0
     total = chars // 4
     frequent = max(least, int(share * total / buckets))
     counts = count(learned, own, buckets)
-    seats = written(counts.groupBy("bucket").applyInArrow(lambda g: merge(g, frequent), "bucket int, part int, data binary, sums binary"), "seats")
+    seats = written(counts.groupBy("bucket").applyInArrow(lambda g: merge(g, frequent), "bucket int, part int, data binary, sums binary"), "seats", compression="none")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}  # a task passes on one sum of each
         for b in batches:
-            for x in b.column(0).to_pylist():
-                for k, v in pickle.loads(x).items():
-                    v = np.atleast_1d(np.asarray(v, np.int64))
-                    sums[k] = sums[k] + v if k in sums else v
+            for x in b.column(0):
+                for k, (at, n) in unpacked(x.as_buffer()).items():
+                    sums.setdefault(k, np.zeros(contexts, np.int64))[at] += n
         for k, v in sums.items():
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(v[at])], ["name", "at", "n"])
@@ -438,21 +454,20 @@ def swept(seats: DataFrame, totals: Totals, sample: bool, seed: int) -> tuple[Da
                 s = sweep(s, sent.value, sample, seed)
                 trimmed()
                 change = np.bincount(s.context, s.tables - tables, contexts).astype(np.int64)
-                at = np.flatnonzero(change)
-                more = pickle.dumps((at.astype(np.uint32), change[at], int(s.customers().sum()) - c, int(s.parent_tables.sum()) - parents), 5)
+                more = packed((*sparse(change), int(s.customers().sum()) - c, int(s.parent_tables.sum()) - parents))
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([frozen(s)], pa.binary()), pa.array([more], pa.binary())], ["bucket", "part", "data", "more"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(contexts + 2, np.int64)  # tables of each context, then customers and tables of the parent
         for b in batches:
-            for x in b.column(0).to_pylist():
-                at, change, c, p = pickle.loads(x)
+            for x in b.column(0):
+                at, change, c, p = unpacked(x.as_buffer())
                 sums[at] += change
                 sums[contexts:] += (c, p)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
 
-    now = written(seats.mapInArrow(run, "bucket int, part int, data binary, more binary"), "seats")
+    now = written(seats.mapInArrow(run, "bucket int, part int, data binary, more binary"), "seats", compression="none")
     found = now.select("more").mapInArrow(add, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     change = np.bincount(found["at"], found["n"], contexts + 2).astype(np.int64)
     after = Totals(totals.tokens, totals.words, totals.customers, totals.tables + change[:contexts], totals.parent_customers + int(change[contexts]), totals.parent_tables + int(change[contexts + 1]), totals.discount, totals.parent_discount, totals.strength)

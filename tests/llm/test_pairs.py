@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -797,3 +798,31 @@ def test_seats_in_few_bytes():
     for k, v in vars(lm.thawed(data)).items():
         if isinstance(v, np.ndarray):
             assert v.dtype == getattr(s, k).dtype and (v == getattr(s, k)).all()
+
+
+def test_totals_of_a_bucket_are_short_rows(spark, frame, monkeypatch):
+    """What a bucket adds to the totals is as long as the contexts that it knows, not as all of them, and no codec buffers pages of rows that are packed already."""
+    tables = []
+
+    def kept(df, label, **options):
+        tables.append(written(df, label, **options))
+        return tables[-1]
+
+    monkeypatch.setattr(lm, "written", kept)
+    learned = frame(["the cat sat on the mat", "a dog ran"] * 20).select(F.col("doc_id").alias("k"), F.col("text").alias("t"), F.lit(False).alias("h"))
+    seats, totals = lm.state_of(learned, lm.Sent(spark, np.zeros(0, np.uint64)), 4, 2.0, 50_000)
+    assert (totals.tokens, totals.words, totals.customers.sum()) == (20 * 11, 9, 20 * 11) and totals.customers[0] == 40
+    assert tables[0].select(F.max(F.length("sums"))).first()[0] < 4_000
+    after, _ = lm.swept(seats, totals, False, 1)
+    assert tables[1].select(F.max(F.length("more"))).first()[0] < 4_000
+    file = tables[1].inputFiles()[0].removeprefix("file://")
+    assert pq.ParquetFile(file).metadata.row_group(0).column(2).compression == "UNCOMPRESSED"
+    drop_written(after)
+
+
+@pytest.mark.parametrize("n", [[], [0], [0, -3, 0, 70_000], [0, 200, -1], [1 << 40, 0, -1], [1 << 40]])
+def test_what_is_not_zero(n):
+    at, found = lm.sparse(np.array(n, np.int64))
+    back = np.zeros(len(n), np.int64)
+    back[at] += found
+    assert back.tolist() == n
