@@ -826,3 +826,38 @@ def test_what_is_not_zero(n):
     back = np.zeros(len(n), np.int64)
     back[at] += found
     assert back.tolist() == n
+
+
+def test_unproved_pairs_of_a_band(spark):
+    """All pairs of a band of which one is out, of other components and of near sizes; what is made three times are the lines that are out."""
+    rng = random.Random(3)
+    bits = [rng.getrandbits(40) for _ in range(3)]
+    rows = []
+    for h in range(60):
+        n, own = rng.choice([40, 45, 52, 90]), bits[h % 3] ^ (1 << rng.randrange(40)) if h % 2 else bits[h % 3]
+        in_bands = sorted(rng.sample(range(4), 2))
+        rows += [(b, h, h % 7, h % 7 != 0, n, in_bands, math.floor(math.log(n) / math.log(101 / lines.AT_LEAST)), *[own] * 2, *[0] * (lines.PARITY - 2)) for b in in_bands]
+    marks = ", ".join(f"p{k} long" for k in range(lines.PARITY))
+    known = spark.createDataFrame(rows, f"band long, h long, r long, out boolean, n long, bands array<long>, size long, {marks}")
+    want = set()
+    for a, b in itertools.combinations({r[1]: r for r in rows}.values(), 2):
+        least, most = sorted((a[4], b[4]))
+        differ = 2 * (a[7] ^ b[7]).bit_count()
+        if set(a[5]) & set(b[5]) and a[2] != b[2] and (a[3] or b[3]) and 100 * least >= lines.AT_LEAST * most and (100 + lines.AT_LEAST) * differ <= (100 - lines.AT_LEAST) * (least + most):
+            want.add((a[1], b[1]))
+    found = lines.unproved(known)
+    got = [(r.u, r.v) for r in found.collect()]
+    assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(plan) if "Generate explode" in x)
+    assert any("Filter" in x and "out#" in x for x in plan[at + 1 : at + 4])
+
+
+def test_minima_without_a_dictionary(spark, frame, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lines, "drop_written", lambda df: kept.append(df))
+    lines.first_lines(frame(["the cat sat on the mat and a dog ran", "one two three four five"]))
+    files = [f.removeprefix("file://") for df in kept if "m0" in df.columns for f in df.inputFiles()]
+    found = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in found) == 2
+    assert all("DICTIONARY" not in e for m in found if m.num_row_groups for c in range(2, m.num_columns) for e in m.row_group(0).column(c).encodings)
